@@ -5,14 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common
+from . import bpe, common, jpeg
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digests(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_jpeg": op5_jpeg,
     "op8_bpe": op8_bpe,
 }
 
