@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, common, jpeg
+from . import bpe, chat, common, jpeg, langid
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_predictions(common.table(spark, sf_dir, "documents"))
+
+
 def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digests(common.table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_langid": op4_langid,
     "op5_jpeg": op5_jpeg,
     "op8_bpe": op8_bpe,
     "op10_chat": op10_chat,
