@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; long texts make batches heavy.
-BATCH_ROWS = 2_000
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
@@ -38,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def prepare(spark: SparkSession) -> None:
     """Bounds Arrow batches and makes the package importable in workers that were started elsewhere."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     on_path = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(":")] + [Path.cwd()]
     app = spark.sparkContext.applicationId

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, common, jpeg, langid
+from . import bpe, chat, common, jpeg, langid, neardup
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(common.table(spark, sf_dir, "documents"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.links(common.table(spark, sf_dir, "documents"))
+
+
 def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digests(common.table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_langid": op4_langid,
     "op5_jpeg": op5_jpeg,
+    "op6_neardup": op6_neardup,
     "op8_bpe": op8_bpe,
     "op10_chat": op10_chat,
 }
