@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, common, jpeg, langid, neardup
+from . import bpe, chat, common, jpeg, langid, maxent, neardup
+
+
+def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(common.table(spark, sf_dir, "documents"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +39,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_maxent": op1_maxent,
     "op4_langid": op4_langid,
     "op5_jpeg": op5_jpeg,
     "op6_neardup": op6_neardup,
