@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, common, jpeg, langid, maxent, neardup
+from . import ann, bpe, chat, common, jpeg, langid, maxent, neardup
 
 
 def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(common.table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_of_fiftieth(common.table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,6 +44,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_maxent": op1_maxent,
+    "op2_ann": op2_ann,
     "op4_langid": op4_langid,
     "op5_jpeg": op5_jpeg,
     "op6_neardup": op6_neardup,
