@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, common, jpeg, langid, maxent, neardup
+from . import ann, bpe, chat, common, jpeg, langid, maxent, mixing, neardup
 
 
 def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_of_fiftieth(common.table(spark, sf_dir, "embeddings"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_jpeg": op5_jpeg,
     "op6_neardup": op6_neardup,
     "op8_bpe": op8_bpe,
+    "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
 }
 
