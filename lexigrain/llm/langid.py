@@ -30,7 +30,7 @@ from . import common, kernels
 
 UND = "und"
 PER_LANG, WINDOWS, SPAN = 1000, 8, 160
-BUCKETS, DIM, EPOCHS, RATE, BATCH = 1 << 16, 16, 3, 0.5, 256
+BUCKETS, DIM, EPOCHS, RATE, BATCH, LEAST_STEPS = 1 << 16, 16, 3, 0.5, 256, 300
 ORDERS = (1, 2, 3, 4)
 REJECT = 0.0005
 SALTS = 64
@@ -124,9 +124,11 @@ def _descend(texts: list[bytes], labels: np.ndarray, k: int) -> tuple[np.ndarray
     rng = np.random.Generator(np.random.PCG64(11))
     emb = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32)
     w, bias = np.zeros((DIM, k), dtype=np.float32), np.zeros(k, dtype=np.float32)
-    steps = EPOCHS * -(-len(texts) // BATCH)
+    each = -(-len(texts) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // each))  # few texts are seen more often
+    steps = epochs * each
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
