@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, common, jpeg, langid, maxent, mixing, neardup
+from . import ann, bpe, chat, common, jpeg, langid, maxent, mixing, neardup, wrapper
 
 
 def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op3_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract_pages(common.table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,6 +53,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_maxent": op1_maxent,
     "op2_ann": op2_ann,
+    "op3_wrapper": op3_wrapper,
     "op4_langid": op4_langid,
     "op5_jpeg": op5_jpeg,
     "op6_neardup": op6_neardup,
