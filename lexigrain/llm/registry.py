@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, common, jpeg, langid, maxent, mixing, neardup, wrapper
+from . import ann, bpe, chat, common, jpeg, langid, maxent, mixing, neardup, urlfilter, wrapper
 
 
 def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract_pages(common.table(spark, sf_dir, "pages"))
 
 
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.evaluate_pages(common.table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -57,12 +61,14 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_jpeg": op5_jpeg,
     "op6_neardup": op6_neardup,
+    "op7_urlfilter": op7_urlfilter,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
 }
 
 SQL: dict[str, str] = {
+    "op7_urlfilter": urlfilter.SQL,
     "op10_chat": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
