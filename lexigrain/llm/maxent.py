@@ -10,11 +10,13 @@ the base model; it stays normalised whatever the weights.
 
 One pass over all documents tokenises them into blocks: a dictionary of distinct token hashes
 with their counts, and the texts as indexes into it. Blocks are written to the shared folder as
-one row each. Counts are summed over the dictionaries, so that each distinct token of a block is
-shuffled once, not each occurrence; looked-up counts go back to the blocks the same way, and
-hot tokens have one row per block at most. Training visits every training token once, in ROUNDS
-rounds: in each, tasks run gradient steps on their own blocks from the same weights, and the
-changes of the touched rows are averaged, weighted by tokens. The model's size is fixed.
+one row each. Each block's dictionary is cut into ranges of the hash, which are shuffled once and
+packed: the task of a range sums its counts over all blocks and answers each block with the
+sums of its tokens. A token is thus shuffled once a block, not once an occurrence, and a hot token is
+one entry a block. The number of ranges follows the size of the dictionaries. Training visits
+every training token once, in ROUNDS rounds: in each, tasks run gradient steps on their own blocks
+from the same weights, and the changes of the touched rows are averaged, weighted by tokens. The
+model's size is fixed.
 
 Cases: null and empty text have only the end token; texts are whole, none is cut; equal texts have
 equal scores; rows of equal doc_id are scored each; an empty table gives no rows; without any
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +38,15 @@ from . import common, kernels
 
 #: Smoothing of the unigram counts.
 ALPHA = 0.1
-HEAD_CLASSES, MEMBERS, TAIL_CLASSES = 16, 64, 15
+HEAD_CLASSES, MEMBERS, TAIL_CLASSES = 16, 32, 15
 HEAD, CLASSES = HEAD_CLASSES * MEMBERS, HEAD_CLASSES + TAIL_CLASSES + 1
 UNSEEN = CLASSES - 1
 #: Rows of hashed weights of the class factor and of the member factor.
 BUCKETS = 1 << 15
 FEATURES = 3
-ROUNDS, STEP_TOKENS, RATE = 2, 16384, 0.4
-#: Bytes of text in a block.
-BLOCK = 4 << 20
+ROUNDS, STEP_TOKENS, RATE = 2, 65536, 0.4
+#: Bytes of text in a block, blocks of a training task, and dictionary entries of a range.
+BLOCK, TASK_BLOCKS, RANGE = 4 << 20, 6, 500_000
 
 END = np.uint64(0x9D5A2F6C13E87B41)
 START = np.uint64(0x3C6EF372FE94F82B)
@@ -55,7 +58,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-_BLOCK_SCHEMA = "block string, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens array<int>, hashes array<long>, tails array<byte>, counts array<int>"
+_BLOCK_SCHEMA = "block string, n_names long, doc_ids binary, held binary, lengths binary, tokens binary, hashes binary, tails binary, counts binary"
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers below 2**32 as four planes of bytes, of which the upper ones are mostly 0 and pack well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _joined(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -80,13 +92,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
         full, tails = np.empty(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
         full[ends], full[word], tails[word] = END, h, tail
         names, at, inverse = np.unique(full, return_index=True, return_inverse=True)
+        by_use = np.argsort(-np.bincount(inverse, minlength=len(names)), kind="stable")  # frequent tokens get small numbers, which pack well
+        number = np.empty_like(by_use)
+        number[by_use] = np.arange(len(by_use))
         trained = np.repeat(~hold, lengths)
-        counts = np.bincount(inverse[trained], minlength=len(names))
-        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([f"{task}-{serial}"]), one(doc_ids, pa.int64()), one(hold, pa.bool_()), one(lengths, pa.int32()), one(inverse, pa.int32()), one(names.view(np.int64), pa.int64()), one(tails[at], pa.int8()), one(counts, pa.int32())],
-            ["block", "doc_ids", "held", "lengths", "tokens", "hashes", "tails", "counts"],
-        )
+        counts = np.bincount(inverse[trained], minlength=len(names))[by_use]
+        packed = [doc_ids.astype("<i8"), hold, lengths.astype("<i4"), _planes(number[inverse]), names[by_use].astype("<u8"), tails[at][by_use].astype(np.int8), counts.astype("<i4")]
+        return pa.RecordBatch.from_arrays([pa.array([f"{task}-{serial}"]), pa.array([len(names)], pa.int64()), *(pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in packed)], ["block", "n_names", "doc_ids", "held", "lengths", "tokens", "hashes", "tails", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -135,10 +147,69 @@ def _log_p(counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
     return np.log((counts + ALPHA) / (total + ALPHA * (distinct + 1)))
 
 
-def _start(counts: DataFrame) -> Model:
+def _ranged(blocks: DataFrame, ranges: int) -> DataFrame:
+    """(range, block, hashes, tails, counts): each block's dictionary, sorted and cut by ranges of the hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=np.uint64)
+        for batch in batches:
+            for block, hashes, tails, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                h = np.frombuffer(hashes, dtype="<u8")
+                order = np.argsort(h)
+                h, t, c = h[order], np.frombuffer(tails, dtype=np.int8)[order], np.frombuffer(counts, dtype="<i4")[order]
+                cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+                parts = list(zip(cuts[:-1], cuts[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(ranges), pa.int32()), pa.array([block] * ranges), pa.array([h[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([t[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([_planes(c[a:b]) for a, b in parts], pa.binary())],
+                    ["range", "block", "hashes", "tails", "counts"],
+                )
+
+    return blocks.select("block", "hashes", "tails", "counts").mapInArrow(run, "range int, block string, hashes binary, tails binary, counts binary")
+
+
+def _summed(ranged: DataFrame, ranges: int) -> DataFrame:
+    """Answers to each block (block, range, packed: training counts of its tokens of the range, in order of
+    hash), the most frequent tokens of each range (hash, tail, c) and sums by tail class (tail, c, v)."""
+
+    def answer(number: int, blocks: list[str], hashes: list[np.ndarray], tails: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        names, at, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        c = np.bincount(inverse, np.concatenate(counts), len(names)).astype(np.int64)
+        tail = np.concatenate(tails)[at].astype(np.int64)
+        ends = np.cumsum([len(h) for h in hashes])
+        # counts of 2**32 and more don't fit the planes: two words each then
+        wide = bool(len(c)) and int(c.max()) >= 1 << 32
+        replies = [(c[inverse[e - len(h) : e]].astype("<i8").tobytes() if wide else _planes(c[inverse[e - len(h) : e]])) for e, h in zip(ends, hashes)]
+        names_, kinds = ["block", "range", "wide", "packed", "hash", "tail", "c", "v"], [pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+        def batch(n: int, **given: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(given[x], k) if x in given else pa.nulls(n, k) for x, k in zip(names_, kinds)], names_)
+
+        yield batch(len(blocks), block=blocks, range=[number] * len(blocks), wide=[wide] * len(blocks), packed=replies)
+        known = np.flatnonzero(c > 0)
+        top = known[np.lexsort((names[known].view(np.int64), -c[known]))[:HEAD]]
+        yield batch(len(top), hash=names[top].view(np.int64), tail=tail[top], c=c[top])
+        yield batch(TAIL_CLASSES, tail=np.arange(TAIL_CLASSES), c=np.bincount(tail[known], c[known], TAIL_CLASSES).astype(np.int64), v=np.bincount(tail[known], minlength=TAIL_CLASSES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, ([], [], [], [])
+        for batch in batches:
+            for number, block, hashes, tails, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != now and own[0]:
+                    yield from answer(now, *own)
+                    own = ([], [], [], [])
+                now = number
+                for x, y in zip(own, (block, np.frombuffer(hashes, dtype="<u8"), np.frombuffer(tails, dtype=np.int8), _joined(counts))):
+                    x.append(y)
+        if own[0]:
+            yield from answer(now, *own)
+
+    return ranged.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(run, "block string, range int, wide boolean, packed binary, hash long, tail int, c long, v long")
+
+
+def _start(summed: DataFrame) -> Model:
     """The base model: of the counts, the driver gets the HEAD largest and sums by class."""
-    top = counts.orderBy(F.desc("c"), "hash").limit(HEAD).collect()
-    sums = {r["tail"]: r for r in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}
+    top = summed.where("hash IS NOT NULL").select("hash", "tail", "c").orderBy(F.desc("c"), "hash").limit(HEAD).collect()
+    sums = {r["tail"]: r for r in summed.where("v IS NOT NULL").groupBy("tail").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()}
     total, distinct = sum(r["c"] for r in sums.values()), sum(r["v"] for r in sums.values())
     hashes = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
     c = np.array([r["c"] for r in top], dtype=np.float64)
@@ -164,11 +235,11 @@ class _Block:
     """Token arrays of a block, ready for numpy."""
 
     def __init__(self, row: dict, model: Model):
-        self.lengths = np.asarray(row["lengths"], dtype=np.int64)
-        self.tokens = np.asarray(row["tokens"], dtype=np.int64)
-        self.hashes = np.asarray(row["hashes"], dtype=np.int64).view(np.uint64)
+        self.lengths = np.frombuffer(row["lengths"], dtype="<i4").astype(np.int64)
+        self.tokens = _joined(row["tokens"])
+        self.hashes = np.frombuffer(row["hashes"], dtype="<u8")
         self.slot = model.slots(self.hashes)
-        self.klass = np.where(self.slot >= 0, self.slot // MEMBERS, HEAD_CLASSES + np.asarray(row["tails"], dtype=np.int64))
+        self.klass = np.where(self.slot >= 0, self.slot // MEMBERS, HEAD_CLASSES + np.frombuffer(row["tails"], dtype=np.int8).astype(np.int64))
         full = self.hashes[self.tokens]
         first = np.zeros(len(full), dtype=bool)
         start = np.cumsum(self.lengths) - self.lengths
@@ -184,13 +255,13 @@ class _Block:
 
 
 def _class_rows(feats: list[np.ndarray]) -> list[np.ndarray]:
-    return [(f >> _U(49)).astype(np.int64) for f in feats]
+    return [(f >> _U(49)).astype(np.uint16) for f in feats]
 
 
 def _member_rows(feats: list[np.ndarray], klass: np.ndarray) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         k = klass.astype(np.uint64) * _MULT[2]
-        return [((kernels.mix(f ^ k)) >> _U(49)).astype(np.int64) for f in feats]
+        return [((kernels.mix(f ^ k)) >> _U(49)).astype(np.uint16) for f in feats]
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -209,25 +280,27 @@ def _logits(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.n
 
 def _descend(table: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], gradient: np.ndarray) -> None:
     """One adaptive gradient step on the touched rows."""
-    flat = np.concatenate(rows)
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    at = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    g = np.add.reduceat(gradient[order % len(gradient)], at, axis=0)
-    touched = flat[at]
+    total = np.zeros_like(table)
+    for r in rows:
+        order = np.argsort(r, kind="stable")  # 16 bits: a radix sort
+        r = r[order]
+        at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        total[r[at]] += np.add.reduceat(gradient[order], at, axis=0)
+    touched = np.unique(np.concatenate(rows)) if len(rows[0]) * len(rows) < BUCKETS else slice(None)
+    g = total[touched]
     s = squares[touched] + g * g
     squares[touched] = s
     table[touched] -= RATE * g / np.sqrt(s + 1.0)
 
 
 def _train_task(rows: Iterator[dict], model: Model) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(factor, row, tokens, change * tokens) of touched rows after local steps over the task's blocks."""
+    """(factor, row, tokens, change) of touched rows after local steps over the task's blocks."""
     tables = [model.class_weights.copy(), model.member_weights.copy()]
     squares = [np.zeros_like(t) for t in tables]
     seen = [np.zeros(len(t), dtype=np.int64) for t in tables]
     for row in rows:
         b = _Block(row, model)
-        trained = np.repeat(~np.asarray(row["held"], dtype=bool), b.lengths)
+        trained = np.repeat(~np.frombuffer(row["held"], dtype=bool), b.lengths)
         where = np.flatnonzero(trained)
         for lo in range(0, len(where), STEP_TOKENS):
             at = where[lo : lo + STEP_TOKENS]
@@ -249,50 +322,40 @@ def _train_task(rows: Iterator[dict], model: Model) -> Iterator[tuple[int, int,
                     seen[1] += np.bincount(r, minlength=BUCKETS)
     for k, start in enumerate((model.class_weights, model.member_weights)):
         for r in np.flatnonzero(seen[k]).tolist():
-            yield k, r, int(seen[k][r]), (tables[k][r] - start[r]) * np.float32(seen[k][r])
+            yield k, r, int(seen[k][r]), tables[k][r] - start[r]
 
 
-def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
-            out = {}
-            for name in names:
-                column = batch.column(batch.schema.get_field_index(name))
-                if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
-                    out[name] = column.slice(i, 1).flatten().to_numpy(zero_copy_only=False)
-                else:
-                    out[name] = column[i].as_py()
-            yield out
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
-def _round(blocks: DataFrame, model: Model, nth: int) -> Model:
+def _round(blocks: DataFrame, model: Model, nth: int, n_blocks: int) -> Model:
     """One round of distributed gradient updates over a share of the blocks."""
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["held", "lengths", "tokens", "hashes", "tails"]
-        out = list(_train_task(_rows(batches, names), shared.value))
+        out = list(_train_task(_rows(batches), shared.value))
         for k in (0, 1):
             own = [x for x in out if x[0] == k]
             if own:
-                change = np.stack([x[3] for x in own]).astype(np.float32)
-                width = change.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array([x[1] for x in own], pa.int32()), pa.array([x[2] for x in own], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * width, pa.int32()), pa.array(change.ravel()))], ["factor", "row", "tokens", "change"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array([x[1] for x in own], pa.int32()), pa.array([x[2] for x in own], pa.int64()), pa.array([x[3].astype("<f2").tobytes() for x in own], pa.binary())], ["factor", "row", "tokens", "change"])
 
-    share = blocks.where(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == nth)
-    changes = share.mapInArrow(run, "factor int, row int, tokens long, change array<float>")
+    share = blocks.select("block", "held", "lengths", "tokens", "hashes", "tails").where(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == nth)
+    changes = share.drop("block").coalesce(max(1, n_blocks // (ROUNDS * TASK_BLOCKS))).mapInArrow(run, "factor int, row int, tokens long, change binary")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for k, r, n, x in zip(*(c.to_pylist() if i < 3 else c for i, c in enumerate(batch.columns))):
-                x = x.values.to_numpy()
+            for k, r, n, x in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(x, dtype="<f2").astype(np.float64) * n
                 if (k, r) in sums:
                     sums[k, r][0] += n
                     sums[k, r][1] += x
                 else:
-                    sums[k, r] = [n, x.astype(np.float64)]
+                    sums[k, r] = [n, x]
         keys = sorted(sums)
         for lo in range(0, len(keys), 2000):
             own = keys[lo : lo + 2000]
@@ -308,7 +371,8 @@ def _round(blocks: DataFrame, model: Model, nth: int) -> Model:
 def _score_block(row: dict, model: Model) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base score, score of the block's documents."""
     b = _Block(row, model)
-    counts = np.asarray(row["c"], dtype=np.float64)
+    counts = np.empty(len(b.hashes))
+    counts[np.argsort(b.hashes)] = row["c"]
     known = counts > 0
     base = _log_p(counts, model.total, model.distinct)
     klass = np.where(known, b.klass, UNSEEN)
@@ -334,19 +398,24 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.prepare(spark)
     blocks = common.materialise(_blocks(docs), "blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("hashes", "tails", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.hashes").alias("hash"), F.col("w.tails").alias("tail"), F.col("w.counts").alias("n"))
-    counts = common.materialise(words.groupBy("hash").agg(F.min("tail").alias("tail"), F.sum("n").alias("c")).where("c > 0"), "counts")
-    model = _start(counts)
+    sizes = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum("n_names").alias("names")).first()
+    ranges = max(1, -(-(sizes["names"] or 0) // RANGE))
+    summed = common.materialise(_summed(_ranged(blocks, ranges), ranges), "counts")
+    model = _start(summed)
     for nth in range(ROUNDS):
-        model = _round(blocks, model, nth)
-    found = words.select("block", "pos", "hash").join(counts.select("hash", "c"), "hash", "left")
-    by_block = found.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("c", F.lit(0)).alias("c")))), lambda x: x["c"]).alias("c"))
+        model = _round(blocks, model, nth, sizes["blocks"])
     shared = spark.sparkContext.broadcast(model)
+    texts = blocks.select("block", F.lit(-1).alias("range"), F.lit(False).alias("wide"), F.col("tokens").alias("packed"), "doc_ids", "held", "lengths", "hashes", "tails")
+    answers = summed.where("block IS NOT NULL").select("block", "range", "wide", "packed")
+    both = texts.unionByName(answers, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for row in _rows(batches, ["doc_ids", "held", "lengths", "tokens", "hashes", "tails", "c"]):
-            n, known, base, own = _score_block(row, m)
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"].astype(bool), pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), m.total), pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return blocks.drop("counts").join(by_block, "block").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        rows = _rows(batches)
+        for _, own in groupby(rows, key=lambda r: r["block"]):
+            text, *parts = own  # the block comes first, then its answers by range
+            c = np.concatenate([np.frombuffer(r["packed"], dtype="<i8") if r["wide"] else _joined(r["packed"]) for r in parts])
+            n, known, base, score_ = _score_block(text | {"tokens": text["packed"], "c": c}, m)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(text["doc_ids"], dtype="<i8")), pa.array(np.frombuffer(text["held"], dtype=bool)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), m.total), pa.int64()), pa.array(base, pa.float64()), pa.array(score_, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return both.repartition("block").sortWithinPartitions("block", "range").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -79,8 +79,8 @@ def test_probabilities_sum_to_one(seed):
     names = np.r_[hashes, unseen]
     n = len(names)
     # each token of the vocabulary as the last of a text of two, after the same first one
-    row = {"lengths": np.full(n, 2), "tokens": np.c_[np.full(n, 7), np.arange(n)].ravel(), "hashes": names.view(np.int64), "tails": np.r_[tails, 0], "c": np.r_[counts, 0]}
+    row = {"lengths": np.full(n, 2, "<i4").tobytes(), "tokens": maxent._planes(np.c_[np.full(n, 7), np.arange(n)].ravel()), "hashes": names.tobytes(), "tails": np.r_[tails, 0].astype(np.int8).tobytes(), "c": np.r_[counts, 0][np.argsort(names)]}
     both = maxent._score_block(row, model)[3]
-    first = maxent._score_block(row | {"lengths": np.array([1]), "tokens": np.array([7])}, model)[3]
+    first = maxent._score_block(row | {"lengths": np.array([1], "<i4").tobytes(), "tokens": maxent._planes(np.array([7]))}, model)[3]
     assert np.exp(np.log(10) * (both - first)).sum() == pytest.approx(1, rel=1e-4)
     assert kernels.hashes(np.frombuffer(b"aA", np.uint8), np.array([0, 1]), np.array([1, 2])).std() == 0
