@@ -33,9 +33,12 @@ from pyspark.sql import functions as F
 from . import common
 
 K = 5
-PROJECTIONS, HALF_WIDTH, CONFIDENCE = 64, 0.8, 0.98
-START_RADIUS, GROWTH = 0.1, 1.12
-BLOCK = 8192
+PROJECTIONS, HALF_WIDTH, CONFIDENCE = 40, 0.8, 0.95
+#: Radii by virtual rehashing; 2 is the largest distance, and after it all that is left is verified.
+START_RADIUS, GROWTH = 0.2, 1.25
+RADII = np.append(START_RADIUS * GROWTH ** np.arange(int(np.log(2 / START_RADIUS) / np.log(GROWTH)) + 1), 2.0)
+#: Vectors of a block, and queries that are looked up together.
+BLOCK, TOGETHER = 8192, 128
 
 
 @lru_cache(maxsize=4)
@@ -66,38 +69,48 @@ class Index:
         self.order = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T)
         self.sorted = np.ascontiguousarray(np.sort(p, axis=0).T)
 
-    def search(self, query_id: int, query: np.ndarray, k: int = K) -> list[tuple[int, float]]:
-        """The k nearest found, best first."""
-        query = query.astype(np.float64)
-        norm = np.sqrt((query**2).sum())
-        at = (query / norm) @ directions(len(query))
-        n = len(self.ids)
-        counts, verified = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-        own = self.ids == query_id
-        wanted = min(k, n - int(own.sum()))
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> Iterator[tuple[int, int, float]]:
+        """(query_id, vec_id, score) of the k nearest found of each query, best first."""
+        queries = queries.astype(np.float64)
+        norms = np.sqrt((queries**2).sum(1))
+        at = (queries / norms[:, None]) @ directions(queries.shape[1])
+        # where every window of every query begins and ends, for all radii at once
+        half = HALF_WIDTH * RADII
+        low = np.stack([s.searchsorted(x[:, None] - half, "left") for s, x in zip(self.sorted, at.T)], 2)
+        high = np.stack([s.searchsorted(x[:, None] + half, "right") for s, x in zip(self.sorted, at.T)], 2)
+        for i, query_id in enumerate(query_ids.tolist()):
+            for j, score in self._search(query_id, queries[i], norms[i], low[i], high[i], k):
+                yield query_id, int(self.ids[j]), score
+
+    def _search(self, query_id: int, query: np.ndarray, norm: float, low: np.ndarray, high: np.ndarray, k: int) -> list[tuple[int, float]]:
+        n, least = len(self.ids), least_collisions()
+        counts, verified = np.zeros(n, dtype=np.int64), self.ids == query_id
+        wanted = min(k, n - int(verified.sum()))
         if wanted <= 0:
             return []
-        verified[own] = True
         ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        low = high = None
-        radius, least = START_RADIUS, least_collisions()
-        while True:
-            half = HALF_WIDTH * radius
-            lo = np.array([s.searchsorted(x - half, "left") for s, x in zip(self.sorted, at)])
-            hi = np.array([s.searchsorted(x + half, "right") for s, x in zip(self.sorted, at)])
-            new = [o[a:b] for o, a, b in zip(self.order, lo, hi)] if low is None else [x for o, a, b, c, d in zip(self.order, lo, low, high, hi) for x in (o[a:b], o[c:d])]
-            low, high = lo, hi
+        sizes = (high - low).sum(1)
+        a = b = None
+        for r, radius in enumerate(RADII):
+            last = r == len(RADII) - 1
+            if sizes[r] < least and not last:
+                continue  # nothing can collide often enough
+            if a is None:
+                new = [o[x:y] for o, x, y in zip(self.order, low[r].tolist(), high[r].tolist())]
+            else:
+                new = [p for o, x, y, z, w in zip(self.order, low[r].tolist(), a, b, high[r].tolist()) for p in (o[x:y], o[z:w])]
+            a, b = low[r].tolist(), high[r].tolist()
             counts += np.bincount(np.concatenate(new), minlength=n)
-            fresh = np.flatnonzero((counts >= least) & ~verified)
+            fresh = np.flatnonzero((~verified if last else (counts >= least) & ~verified))
             if len(fresh):
                 verified[fresh] = True
-                ids = np.r_[ids, fresh]
-                scores = np.r_[scores, (self.vectors[fresh] * query).sum(1) / (self.norms[fresh] * norm)]
+                ids = np.concatenate((ids, fresh))
+                scores = np.concatenate((scores, (self.vectors[fresh] * query).sum(1) / (self.norms[fresh] * norm)))
                 best = np.lexsort((ids, -scores))[:wanted]
                 ids, scores = ids[best], scores[best]
-            if len(ids) >= wanted and (2 - 2 * scores[-1] <= radius * radius or verified.all()):
-                return list(zip(self.ids[ids].tolist(), scores.tolist()))
-            radius *= GROWTH
+            if len(ids) >= wanted and 2 - 2 * scores[-1] <= radius * radius:
+                break
+        return list(zip(ids.tolist(), scores.tolist()))
 
 
 def usable(column: Column) -> Column:
@@ -123,9 +136,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
         for batch in batches:
             column = batch.column(3)
             flat, off = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *column.value_lengths().to_pylist()])
-            out = []
+            asked: dict[int, list[tuple[int, np.ndarray]]] = {}
+            out: list[tuple[int, int, float]] = []
+
+            def answer(index: dict, asked: dict, out: list) -> None:
+                for dim, own in asked.items():
+                    for lo in range(0, len(own), TOGETHER):
+                        part = own[lo : lo + TOGETHER]
+                        out += index[dim].search(np.array([q for q, _ in part]), np.stack([v for _, v in part]), k)
+                asked.clear()
+
             for i, (b, asks, vec_id) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
                 if b != now:
+                    answer(index, asked, out)
                     now, ids, vecs, index = b, [], [], {}
                 v = flat[off[i] : off[i + 1]]
                 if not asks:
@@ -136,7 +159,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
                     own = [j for j, x in enumerate(vecs) if len(x) == len(v)]
                     index[len(v)] = Index(np.array([ids[j] for j in own]), np.stack([vecs[j] for j in own])) if own else None
                 if index[len(v)] is not None:
-                    out += [(vec_id, c, s) for c, s in index[len(v)].search(vec_id, v, k)]
+                    asked.setdefault(len(v), []).append((vec_id, v))
+            answer(index, asked, out)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
