@@ -30,7 +30,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, kernels
@@ -313,9 +313,8 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
     classes = common.materialise(ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies")), "classes")
     reps = made.where("digest IS NOT NULL").join(classes.select("digest", F.col("class_id").alias("doc_id")), ["doc_id", "digest"], "left_semi").groupBy(F.col("doc_id").alias("class_id")).agg(F.max("sig").alias("sig"))
     reps = common.materialise(reps, "signatures")
-    keys = common.materialise(_band_keys(reps), "keys")
-    hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    candidates = keys.join(hot, "key").join(reps, "class_id")
+    keys = _band_keys(reps).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
+    candidates = keys.join(reps, "class_id")
     edges = common.materialise(_bucket_edges(_in_blocks(candidates, "key", F.col("size")), threshold).distinct(), "edges")
     comps = components(edges, "near")
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
