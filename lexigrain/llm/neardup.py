@@ -39,6 +39,8 @@ N, THRESHOLD = 2, 0.6
 BANDS, ROWS = 64, 4
 LANES = BANDS * ROWS
 STEP, TOLERANCE = 32, 1e-4
+#: Values of a signature that buckets compare; components compare all.
+BUCKET_LANES = 128
 #: Members of a bucket or component that one task compares with as many others.
 BLOCK = 2048
 GRAM_BYTES = 6
@@ -118,7 +120,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, la
 def surviving(one: np.ndarray, many: np.ndarray, threshold: float) -> np.ndarray:
     """Which rows of many may reach the threshold with one, by comparing values step by step."""
     at, matches = np.arange(len(many)), np.zeros(len(many), dtype=np.int64)
-    for k, least in enumerate(least_matches(threshold)):
+    for k, least in enumerate(least_matches(threshold)[: len(one) // STEP]):
         part = slice(k * STEP, (k + 1) * STEP)
         matches += (many[at, part] == one[part]).sum(1)
         keep = matches >= least
@@ -222,7 +224,7 @@ def _bucket_edges(candidates: DataFrame, threshold: float) -> DataFrame:
         src, dst = [], []
         for (_, bi, bj), rows in _groups(batches, 3):
             ids = [r[4] for r in rows]
-            sig = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint16).reshape(-1, LANES)
+            sig = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint16).reshape(-1, BUCKET_LANES)
             order = sorted(range(len(ids)), key=ids.__getitem__)
             place = {i: p for p, i in enumerate(order)}
             sets = _Sets(len(ids))
@@ -314,7 +316,7 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
     reps = made.where("digest IS NOT NULL").join(classes.select("digest", F.col("class_id").alias("doc_id")), ["doc_id", "digest"], "left_semi").groupBy(F.col("doc_id").alias("class_id")).agg(F.max("sig").alias("sig"))
     reps = common.materialise(reps, "signatures")
     keys = _band_keys(reps).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
-    candidates = keys.join(reps, "class_id")
+    candidates = keys.join(reps.withColumn("sig", F.substring("sig", 1, 2 * BUCKET_LANES)), "class_id")
     edges = common.materialise(_bucket_edges(_in_blocks(candidates, "key", F.col("size")), threshold).distinct(), "edges")
     comps = components(edges, "near")
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
