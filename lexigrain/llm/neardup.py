@@ -148,31 +148,38 @@ class _Sets:
             self.up[max(a, b)] = min(a, b)
 
 
-def _features(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, digest of the text (null for none), signature and n-gram set of each row."""
+def _signatures(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, digest of the text (null for none) and signature of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = kernels.strings(batch.column(1))
-            digest, sig, sets = [], [], []
-            seen: dict[bytes, tuple[bytes, bytes]] = {}
+            digest, sig = [], []
+            seen: dict[bytes, bytes] = {}
             for lo, hi in kernels.chunks(off):
-                own = off[lo : hi + 1] - off[lo]
-                for i, g in enumerate(gram_sets(data[off[lo] : off[hi]], own, n), lo):
-                    if not len(g):
-                        digest.append(None)
-                        sig.append(None)
-                        sets.append(None)
-                        continue
-                    d = md5(data[off[i] : off[i + 1]].tobytes()).digest()
-                    if d not in seen:
-                        seen[d] = (signature(g).tobytes(), pack(g))
+                for i, g in enumerate(gram_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n), lo):
+                    d = md5(data[off[i] : off[i + 1]].tobytes()).digest() if len(g) else None
+                    if d is not None and d not in seen:
+                        seen[d] = signature(g).tobytes()
                     digest.append(d)
-                    sig.append(seen[d][0])
-                    sets.append(seen[d][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "sig", "grams"])
+                    sig.append(seen.get(d))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "digest", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, digest binary, sig binary, grams binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, digest binary, sig binary")
+
+
+def _with_sets(members: DataFrame, n: int) -> DataFrame:
+    """comp, class_id, size, signature and n-gram set of the rows whose text has the class's digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = kernels.strings(batch.column(4))
+            own = [i for i, d in enumerate(batch.column(3).to_pylist()) if md5(data[off[i] : off[i + 1]].tobytes()).digest() == d]
+            sets = [g for i in own for g in gram_sets(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), n)]
+            kept = batch.select([0, 1, 2]).take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([signature(g).tobytes() for g in sets], pa.binary()), pa.array([pack(g) for g in sets], pa.binary())], ["comp", "class_id", "size", "sig", "grams"])
+
+    return members.select("comp", "class_id", "size", "digest", "text").mapInArrow(run, "comp long, class_id long, size long, sig binary, grams binary")
 
 
 def _band_keys(classes: DataFrame) -> DataFrame:
@@ -310,18 +317,19 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
     (documents of the class)."""
     spark = docs.sparkSession
     common.prepare(spark)
-    made = common.materialise(_features(docs, n), "grams")
+    made = common.materialise(_signatures(docs, n), "signatures")
     ids = made.groupBy("doc_id").agg(F.max("digest").alias("digest"))  # rows of one id are one document
     classes = common.materialise(ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies")), "classes")
     reps = made.where("digest IS NOT NULL").join(classes.select("digest", F.col("class_id").alias("doc_id")), ["doc_id", "digest"], "left_semi").groupBy(F.col("doc_id").alias("class_id")).agg(F.max("sig").alias("sig"))
-    reps = common.materialise(reps, "signatures")
+    reps = common.materialise(reps, "classes")
     keys = _band_keys(reps).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
     candidates = keys.join(reps.withColumn("sig", F.substring("sig", 1, 2 * BUCKET_LANES)), "class_id")
     edges = common.materialise(_bucket_edges(_in_blocks(candidates, "key", F.col("size")), threshold).distinct(), "edges")
     comps = components(edges, "near")
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    own = made.where("digest IS NOT NULL").select(F.col("doc_id").alias("class_id"), "digest", "sig", "grams")
-    members = comps.join(sizes, "comp").join(classes.select("class_id", "digest"), "class_id").join(own, ["class_id", "digest"]).drop("digest").dropDuplicates(["class_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text")
+    members = comps.join(sizes, "comp").join(classes.select("class_id", "digest"), "class_id").join(texts, "class_id")
+    members = _with_sets(members, n).dropDuplicates(["class_id"])
     found = common.materialise(_verified(_in_blocks(members, "comp", F.col("size")), threshold), "verified")
     groups = components(found.select(F.col("class_id").alias("a"), F.col("to").alias("b")), "linked")
     counts = found.groupBy("class_id").agg(F.sum("links").alias("n_links"))
