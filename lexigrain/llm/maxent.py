@@ -2,10 +2,12 @@
 
 P(w | h) = P(class of w | h) * P(w | class, h). The HEAD most frequent training tokens fill
 HEAD_CLASSES classes of MEMBERS tokens; the rest go to TAIL_CLASSES classes by their last two
-bytes; tokens not seen in training are a class of their own. Both factors are softmaxes whose
-biases are the logarithms of the smoothed unigram probabilities and whose other weights belong
-to hashed features of the history: the token before, the token before that (skip), and the two
-together. Within a tail class, probabilities are unigram. With no weights the model is therefore
+bytes; tokens not seen in training are a class of their own. A tail class is a tree of BRANCHES
+and of TWIGS on each, to which words go by their hash: P(w | class, h) = P(branch | class, h) *
+P(twig | branch, h) * P(w | twig). All factors but the last are softmaxes whose biases are the
+logarithms of the smoothed unigram probabilities and whose other weights belong to hashed
+features of the history: the token before, the token before that (skip), and the two together.
+Among the words of one twig, probabilities are unigram. With no weights the model is therefore
 the base model; it stays normalised whatever the weights.
 
 One pass over all documents tokenises them into blocks: a dictionary of distinct token hashes
@@ -38,10 +40,13 @@ from . import common, kernels
 
 #: Smoothing of the unigram counts.
 ALPHA = 0.1
-HEAD_CLASSES, MEMBERS, TAIL_CLASSES = 16, 32, 15
+HEAD_CLASSES, MEMBERS, TAIL_CLASSES = 16, 64, 15
 HEAD, CLASSES = HEAD_CLASSES * MEMBERS, HEAD_CLASSES + TAIL_CLASSES + 1
 UNSEEN = CLASSES - 1
-#: Rows of hashed weights of the class factor and of the member factor.
+#: Branches of a tail class, twigs of a branch, and twigs of all tail classes.
+BRANCHES, TWIGS = 32, 32
+LEAVES = TAIL_CLASSES * BRANCHES * TWIGS
+#: Rows of hashed weights of each factor.
 BUCKETS = 1 << 15
 FEATURES = 3
 ROUNDS, STEP_TOKENS, RATE = 2, 65536, 0.4
@@ -134,6 +139,17 @@ class Model:
     member_bias: np.ndarray
     class_weights: np.ndarray
     member_weights: np.ndarray
+    #: log unigram mass of each twig, and log shares of branches within their class and of twigs within their
+    #: branch; without them, tail classes have no tree
+    leaf_mass: np.ndarray | None = None
+    branch_bias: np.ndarray | None = None
+    twig_bias: np.ndarray | None = None
+    branch_weights: np.ndarray | None = None
+    twig_weights: np.ndarray | None = None
+
+    def weights(self) -> list[np.ndarray]:
+        """The tables of the factors, in the order of _factors."""
+        return [self.class_weights, self.member_weights, *([] if self.leaf_mass is None else [self.branch_weights, self.twig_weights])]
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         """Slot of each token, -1 beyond the head."""
@@ -143,6 +159,21 @@ class Model:
         return np.where(self.head[at] == hashes, self.slot[at], -1)
 
 
+def _leaves(hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """Twig of each token, were it in the tail."""
+    return tails.astype(np.int64) * (BRANCHES * TWIGS) + (kernels.mix(hashes) % _U(BRANCHES * TWIGS)).astype(np.int64)
+
+
+def _tree(masses: np.ndarray) -> dict[str, np.ndarray]:
+    """The fields of a model that belong to the tail, with no weights yet, of the unigram masses of all twigs."""
+    twigs = masses.reshape(TAIL_CLASSES, BRANCHES, TWIGS)
+    branches = twigs.sum(2)
+    with np.errstate(divide="ignore"):
+        log = lambda x: np.maximum(np.log(x), -1e4)
+        shares = [log(branches / np.maximum(branches.sum(1, keepdims=True), 1e-300)), log(twigs / np.maximum(branches[:, :, None], 1e-300)).reshape(-1, TWIGS)]
+        return {"leaf_mass": log(masses), "branch_bias": shares[0].astype(np.float32), "twig_bias": shares[1].astype(np.float32), "branch_weights": np.zeros((BUCKETS, BRANCHES), np.float32), "twig_weights": np.zeros((BUCKETS, TWIGS), np.float32)}
+
+
 def _log_p(counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
     return np.log((counts + ALPHA) / (total + ALPHA * (distinct + 1)))
 
@@ -169,7 +200,7 @@ def _ranged(blocks: DataFrame, ranges: int) -> DataFrame:
 
 def _summed(ranged: DataFrame, ranges: int) -> DataFrame:
     """Answers to each block (block, range, packed: training counts of its tokens of the range, in order of
-    hash), the most frequent tokens of each range (hash, tail, c) and sums by tail class (tail, c, v)."""
+    hash), the most frequent tokens of each range (hash, tail, c) and sums by twig (tail, c, v)."""
 
     def answer(number: int, blocks: list[str], hashes: list[np.ndarray], tails: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         names, at, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
@@ -188,7 +219,10 @@ def _summed(ranged: DataFrame, ranges: int) -> DataFrame:
         known = np.flatnonzero(c > 0)
         top = known[np.lexsort((names[known].view(np.int64), -c[known]))[:HEAD]]
         yield batch(len(top), hash=names[top].view(np.int64), tail=tail[top], c=c[top])
-        yield batch(TAIL_CLASSES, tail=np.arange(TAIL_CLASSES), c=np.bincount(tail[known], c[known], TAIL_CLASSES).astype(np.int64), v=np.bincount(tail[known], minlength=TAIL_CLASSES))
+        leaf = _leaves(names[known], tail[known])
+        v = np.bincount(leaf, minlength=LEAVES)
+        used = np.flatnonzero(v)
+        yield batch(len(used), tail=used, c=np.bincount(leaf, c[known], LEAVES).astype(np.int64)[used], v=v[used])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, ([], [], [], [])
@@ -207,28 +241,29 @@ def _summed(ranged: DataFrame, ranges: int) -> DataFrame:
 
 
 def _start(summed: DataFrame) -> Model:
-    """The base model: of the counts, the driver gets the HEAD largest and sums by class."""
+    """The base model: of the counts, the driver gets the HEAD largest and sums by twig."""
     top = summed.where("hash IS NOT NULL").select("hash", "tail", "c").orderBy(F.desc("c"), "hash").limit(HEAD).collect()
     sums = {r["tail"]: r for r in summed.where("v IS NOT NULL").groupBy("tail").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()}
     total, distinct = sum(r["c"] for r in sums.values()), sum(r["v"] for r in sums.values())
     hashes = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
     c = np.array([r["c"] for r in top], dtype=np.float64)
-    tail_c, tail_v = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
+    tail_c, tail_v = np.zeros(LEAVES), np.zeros(LEAVES)
     for k, r in sums.items():
         tail_c[k], tail_v[k] = r["c"], r["v"]
-    for r in top:
-        tail_c[r["tail"]] -= r["c"]
-        tail_v[r["tail"]] -= 1
+    leaf = _leaves(hashes, np.array([r["tail"] for r in top], dtype=np.int64))
+    np.subtract.at(tail_c, leaf, c)
+    np.subtract.at(tail_v, leaf, 1)
     norm = total + ALPHA * (distinct + 1)
     slot = np.arange(len(top))
     p = np.zeros(HEAD)
     p[: len(top)] = (c + ALPHA) / norm
-    masses = np.concatenate([p.reshape(HEAD_CLASSES, MEMBERS).sum(1), (tail_c + ALPHA * tail_v) / norm, [ALPHA / norm]])
+    leaves = (tail_c + ALPHA * tail_v) / norm
+    masses = np.concatenate([p.reshape(HEAD_CLASSES, MEMBERS).sum(1), leaves.reshape(TAIL_CLASSES, -1).sum(1), [ALPHA / norm]])
     with np.errstate(divide="ignore"):
         class_bias = np.maximum(np.log(masses), -1e4)
         share = np.log(p.reshape(HEAD_CLASSES, MEMBERS) / np.maximum(masses[:HEAD_CLASSES, None], 1e-300))
     order = np.argsort(hashes)
-    return Model(total, distinct, hashes[order], slot[order], class_bias.astype(np.float32), np.maximum(share, -1e4).astype(np.float32), np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((BUCKETS, MEMBERS), np.float32))
+    return Model(total, distinct, hashes[order], slot[order], class_bias.astype(np.float32), np.maximum(share, -1e4).astype(np.float32), np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((BUCKETS, MEMBERS), np.float32), **_tree(leaves))
 
 
 class _Block:
@@ -239,7 +274,9 @@ class _Block:
         self.tokens = _joined(row["tokens"])
         self.hashes = np.frombuffer(row["hashes"], dtype="<u8")
         self.slot = model.slots(self.hashes)
-        self.klass = np.where(self.slot >= 0, self.slot // MEMBERS, HEAD_CLASSES + np.frombuffer(row["tails"], dtype=np.int8).astype(np.int64))
+        tails = np.frombuffer(row["tails"], dtype=np.int8).astype(np.int64)
+        self.klass = np.where(self.slot >= 0, self.slot // MEMBERS, HEAD_CLASSES + tails)
+        self.leaf = _leaves(self.hashes, tails)
         full = self.hashes[self.tokens]
         first = np.zeros(len(full), dtype=bool)
         start = np.cumsum(self.lengths) - self.lengths
@@ -258,12 +295,26 @@ def _class_rows(feats: list[np.ndarray]) -> list[np.ndarray]:
     return [(f >> _U(49)).astype(np.uint16) for f in feats]
 
 
-def _member_rows(feats: list[np.ndarray], klass: np.ndarray) -> list[np.ndarray]:
+def _inner_rows(feats: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+    """Rows of a factor within a class (its number), or within a branch of the tail (CLASSES plus its number)."""
     with np.errstate(over="ignore"):
-        k = klass.astype(np.uint64) * _MULT[2]
+        k = node.astype(np.uint64) * _MULT[2]
         return [((kernels.mix(f ^ k)) >> _U(49)).astype(np.uint16) for f in feats]
 
 
+def _factors(model: Model, feats: list[np.ndarray], klass: np.ndarray, slot: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(number, tokens that it concerns, biases, rows of weights, outcomes) of each factor of the tokens' probabilities."""
+    yield 0, np.arange(len(klass)), model.class_bias, _class_rows(feats), klass
+    head = np.flatnonzero(slot >= 0)
+    if len(head):
+        yield 1, head, model.member_bias[klass[head]], _inner_rows([f[head] for f in feats], klass[head]), slot[head] % MEMBERS
+    tail = np.flatnonzero((slot < 0) & (klass != UNSEEN))
+    if len(tail) and model.leaf_mass is not None:
+        own, branch = [f[tail] for f in feats], leaf[tail] // TWIGS
+        yield 2, tail, model.branch_bias[branch // BRANCHES], _inner_rows(own, klass[tail]), branch % BRANCHES
+        yield 3, tail, model.twig_bias[branch], _inner_rows(own, CLASSES + branch), leaf[tail] % TWIGS
+
+
 def _log_softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
@@ -295,7 +346,7 @@ def _descend(table: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], gra
 
 def _train_task(rows: Iterator[dict], model: Model) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(factor, row, tokens, change) of touched rows after local steps over the task's blocks."""
-    tables = [model.class_weights.copy(), model.member_weights.copy()]
+    tables = [t.copy() for t in model.weights()]
     squares = [np.zeros_like(t) for t in tables]
     seen = [np.zeros(len(t), dtype=np.int64) for t in tables]
     for row in rows:
@@ -305,22 +356,13 @@ def _train_task(rows: Iterator[dict], model: Model) -> Iterator[tuple[int, int,
         for lo in range(0, len(where), STEP_TOKENS):
             at = where[lo : lo + STEP_TOKENS]
             feats, token = [f[at] for f in b.feats], b.tokens[at]
-            klass, slot = b.klass[token], b.slot[token]
-            own = _class_rows(feats)
-            g = np.exp(_log_softmax(_logits(model.class_bias, tables[0], own)))
-            g[np.arange(len(at)), klass] -= 1
-            _descend(tables[0], squares[0], own, g)
-            for r in own:
-                seen[0] += np.bincount(r, minlength=BUCKETS)
-            head = np.flatnonzero(slot >= 0)
-            if len(head):
-                own = _member_rows([f[head] for f in feats], klass[head])
-                g = np.exp(_log_softmax(_logits(model.member_bias[klass[head]], tables[1], own)))
-                g[np.arange(len(head)), slot[head] % MEMBERS] -= 1
-                _descend(tables[1], squares[1], own, g)
+            for k, which, bias, own, outcome in _factors(model, feats, b.klass[token], b.slot[token], b.leaf[token]):
+                g = np.exp(_log_softmax(_logits(bias, tables[k], own)))
+                g[np.arange(len(which)), outcome] -= 1
+                _descend(tables[k], squares[k], own, g)
                 for r in own:
-                    seen[1] += np.bincount(r, minlength=BUCKETS)
-    for k, start in enumerate((model.class_weights, model.member_weights)):
+                    seen[k] += np.bincount(r, minlength=BUCKETS)
+    for k, start in enumerate(model.weights()):
         for r in np.flatnonzero(seen[k]).tolist():
             yield k, r, int(seen[k][r]), tables[k][r] - start[r]
 
@@ -338,7 +380,7 @@ def _round(blocks: DataFrame, model: Model, nth: int, n_blocks: int) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = list(_train_task(_rows(batches), shared.value))
-        for k in (0, 1):
+        for k in range(len(shared.value.weights())):
             own = [x for x in out if x[0] == k]
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array([x[1] for x in own], pa.int32()), pa.array([x[2] for x in own], pa.int64()), pa.array([x[3].astype("<f2").tobytes() for x in own], pa.binary())], ["factor", "row", "tokens", "change"])
@@ -361,11 +403,11 @@ def _round(blocks: DataFrame, model: Model, nth: int, n_blocks: int) -> Model:
             own = keys[lo : lo + 2000]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([r for _, r in own], pa.int32()), pa.array([(sums[x][1] / sums[x][0]).astype("<f4").tobytes() for x in own], pa.binary())], ["factor", "row", "mean"])
 
-    weights = [model.class_weights.copy(), model.member_weights.copy()]
-    for r in changes.repartition("factor", "row").mapInArrow(add, "factor int, row int, mean binary").collect():  # at most 2 * BUCKETS rows
+    weights = [t.copy() for t in model.weights()]
+    for r in changes.repartition("factor", "row").mapInArrow(add, "factor int, row int, mean binary").collect():  # at most 4 * BUCKETS rows
         weights[r["factor"]][r["row"]] += np.frombuffer(r["mean"], dtype="<f4")
     shared.destroy()
-    return Model(**(model.__dict__ | {"class_weights": weights[0], "member_weights": weights[1]}))
+    return Model(**(model.__dict__ | dict(zip(("class_weights", "member_weights", "branch_weights", "twig_weights"), weights))))
 
 
 def _score_block(row: dict, model: Model) -> tuple[np.ndarray, ...]:
@@ -376,18 +418,15 @@ def _score_block(row: dict, model: Model) -> tuple[np.ndarray, ...]:
     known = counts > 0
     base = _log_p(counts, model.total, model.distinct)
     klass = np.where(known, b.klass, UNSEEN)
-    within = np.where(b.slot >= 0, 0.0, np.where(known, base - model.class_bias[klass], 0.0))
+    mass = model.class_bias[klass] if model.leaf_mass is None else model.leaf_mass[b.leaf]
+    within = np.where((b.slot >= 0) | ~known, 0.0, base - mass)
     n = len(b.tokens)
-    score = within[b.tokens]
+    score, tables = within[b.tokens], model.weights()
     for lo in range(0, n, STEP_TOKENS):
         part = slice(lo, min(n, lo + STEP_TOKENS))
         feats, token = [f[part] for f in b.feats], b.tokens[part]
-        k, slot = klass[token], b.slot[token]
-        score[part] += _log_softmax(_logits(model.class_bias, model.class_weights, _class_rows(feats)))[np.arange(len(k)), k]
-        head = np.flatnonzero(slot >= 0)
-        if len(head):
-            z = _log_softmax(_logits(model.member_bias[k[head]], model.member_weights, _member_rows([f[head] for f in feats], k[head])))
-            score[lo + head] += z[np.arange(len(head)), slot[head] % MEMBERS]
+        for k, which, bias, own, outcome in _factors(model, feats, klass[token], b.slot[token], b.leaf[token]):
+            score[lo + which] += _log_softmax(_logits(bias, tables[k], own))[np.arange(len(which)), outcome]
     start = np.cumsum(b.lengths) - b.lengths
     add = lambda x: np.add.reduceat(x, start) if len(start) else x
     return b.lengths, add(known[b.tokens].astype(np.int64)), add(base[b.tokens]) / np.log(10), add(score) / np.log(10)

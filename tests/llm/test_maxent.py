@@ -84,3 +84,30 @@ def test_probabilities_sum_to_one(seed):
     first = maxent._score_block(row | {"lengths": np.array([1], "<i4").tobytes(), "tokens": maxent._planes(np.array([7]))}, model)[3]
     assert np.exp(np.log(10) * (both - first)).sum() == pytest.approx(1, rel=1e-4)
     assert kernels.hashes(np.frombuffer(b"aA", np.uint8), np.array([0, 1]), np.array([1, 2])).std() == 0
+
+
+def test_history_picks_words_of_the_tail(monkeypatch):
+    """Words that always follow another one score better than if only their class were certain."""
+    monkeypatch.setattr(maxent, "STEP_TOKENS", 4096)
+    rng = np.random.default_rng(3)
+    n = 3000  # pairs of words, all equally frequent
+    names = rng.integers(1, 2**63, 2 * n, dtype=np.uint64)
+    tails = rng.integers(0, maxent.TAIL_CLASSES, 2 * n)
+    first = np.concatenate([rng.permutation(n) for _ in range(20)])
+    row = {"held": np.zeros(1, bool).tobytes(), "lengths": np.array([2 * len(first)], "<i4").tobytes(), "tokens": maxent._planes(np.c_[2 * first, 2 * first + 1].ravel()), "hashes": names.tobytes(), "tails": tails.astype(np.int8).tobytes(), "c": np.full(2 * n, 20)}
+    p = (20 + maxent.ALPHA) / (40 * n + maxent.ALPHA * (2 * n + 1))
+    masses = np.bincount(maxent._leaves(names, tails), minlength=maxent.LEAVES) * p
+    # no token is in the head
+    class_bias = np.maximum(np.log(np.maximum(np.r_[np.zeros(maxent.HEAD_CLASSES), masses.reshape(maxent.TAIL_CLASSES, -1).sum(1), 1 - 2 * n * p], 1e-300)), -1e4)
+    model = maxent.Model(40 * n, 2 * n, np.zeros(0, np.uint64), np.zeros(0, np.int64), class_bias, np.zeros((maxent.HEAD_CLASSES, maxent.MEMBERS)), np.zeros((maxent.BUCKETS, maxent.CLASSES), np.float32), np.zeros((maxent.BUCKETS, maxent.MEMBERS), np.float32), **maxent._tree(masses))
+    tables = model.weights()
+    for k, r, _, change in list(maxent._train_task(iter([row]), model)):
+        tables[k][r] += change
+    pairs = row | {"lengths": np.full(n, 2, "<i4").tobytes(), "tokens": maxent._planes(np.arange(2 * n))}
+    alone = row | {"lengths": np.full(n, 1, "<i4").tobytes(), "tokens": maxent._planes(np.arange(0, 2 * n, 2))}
+    second = maxent._score_block(pairs, model)[3] - maxent._score_block(alone, model)[3]
+    share = np.log10(p) - class_bias[maxent.HEAD_CLASSES + tails[1::2]] / np.log(10)
+    assert second.mean() > share.mean() + 0.3
+    # the trained model is normalised: every word and an unseen one after the same first word
+    every = row | {"hashes": np.r_[names, np.uint64(5)].tobytes(), "tails": np.r_[tails, 0].astype(np.int8).tobytes(), "c": np.r_[row["c"], 0][np.argsort(np.r_[names, np.uint64(5)])], "lengths": np.full(2 * n + 1, 2, "<i4").tobytes(), "tokens": maxent._planes(np.c_[np.full(2 * n + 1, 6), np.arange(2 * n + 1)].ravel())}
+    assert (10 ** (maxent._score_block(every, model)[3] - maxent._score_block(alone, model)[3][3])).sum() == pytest.approx(1, rel=1e-3)
