@@ -3,7 +3,7 @@
 A page's DOM is folded into its skeleton: children of one parent with the same label (tag,
 classes, id; digits masked) are one node, so that lists are one node whatever their length. The
 skeletons of a host are aligned by simple tree matching and merged into its wrapper, which counts
-at each node the pages and the most frequent texts (a Misra-Gries summary, which merges). A text
+at each node the pages. A second pass counts on how many pages each text fills its node; a text
 that fills its node on at least CONSTANT of the host's pages (and LEAST_PAGES) is template;
 varying slots are content, unless their element says otherwise (navigation, headers,
 footers, asides, forms, adverts, notices, comments by tag, role, class or id; lists of links).
@@ -15,6 +15,8 @@ texts would take more than half of the article (copies of one page make all of i
 Wrappers are built by each task for the hosts it meets, and merged first within salts, then by
 host; a host of any size thus never passes through one task as pages, only as wrappers. The
 wrappers are sent to all tasks if they take at most SEND bytes, else joined by host and salt.
+Texts are counted exactly, as hashes by host, node and text, which spreads a hot host; each task adds
+up its own first. A wrapper gets the template texts only: at most 2 for each that a page has on average.
 
 Cases: null html counts as empty and has the empty text; a null url is a host of its own; a host
 with fewer than LEAST_PAGES pages has no template texts; broken markup is closed as browsers do for
@@ -25,21 +27,25 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 from itertools import groupby
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-CONSTANT, LEAST_PAGES, KEPT = 0.5, 4, 16
+CONSTANT, LEAST_PAGES = 0.5, 4
 #: A node found on fewer than one in RARE pages is forgotten once a wrapper has MOST_NODES.
 MOST_NODES, RARE = 4000, 1000
 SALTS, SEND = 32, 32 << 20
+#: Counts that a task adds up before it hands them on.
+TALLY = 200_000
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -215,7 +221,7 @@ class Page:
         flush()
 
     def hashes(self) -> list[int]:
-        return [int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") for _, t, _ in self.blocks]
+        return [int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for _, t, _ in self.blocks]
 
     def shape(self) -> tuple:
         return tuple(zip(self.parent, self.label))
@@ -236,6 +242,7 @@ class Wrapper:
         self.pages = 0
         self.label, self.parent, self.children = ["#"], [-1], [[]]
         self.count, self.mass = [0], [0]
+        #: pages on which each template text fills the node; empty until texts are counted
         self.texts: list[dict[int, int]] = [{}]
         self._known: dict[tuple, list[int]] = {}
 
@@ -320,22 +327,15 @@ class Wrapper:
         self.pages += 1
         for a in at:
             self.count[a] += 1
-        seen = set()
-        for (node, text, linked), h, good in zip(page.blocks, page.hashes(), page.good()):
-            a = at[node]
-            if (a, h) not in seen:
-                seen.add((a, h))
-                self._add(a, h, 1)
+        for (node, text, linked), good in zip(page.blocks, page.good()):
             if good and linked * 2 < len(text):
-                self.mass[a] += len(text)
+                self.mass[at[node]] += len(text)
         self._prune()
 
-    def _add(self, node: int, h: int, n: int) -> None:
-        known = self.texts[node]
-        known[h] = known.get(h, 0) + n
-        if len(known) > KEPT:  # Misra-Gries: the least count goes off all
-            least = min(known.values())
-            self.texts[node] = {k: v - least for k, v in known.items() if v > least}
+    def filled(self, page: Page) -> set[tuple[int, int]]:
+        """(node, hash) of the page's texts; each counts once a page."""
+        at = self.place(page)
+        return {(at[b[0]], h) for b, h in zip(page.blocks, page.hashes()) if at[b[0]] >= 0}
 
     def merge(self, other: Wrapper) -> None:
         at = self._grow(other)
@@ -344,8 +344,6 @@ class Wrapper:
         for b, a in enumerate(at):
             self.count[a] += other.count[b]
             self.mass[a] += other.mass[b]
-            for h, n in other.texts[b].items():
-                self._add(a, h, n)
         self._prune()
 
     def _prune(self) -> None:
@@ -497,37 +495,82 @@ def _merged(wrappers: DataFrame, keys: list[str]) -> DataFrame:
     return wrappers.repartition(*keys).sortWithinPartitions(*keys, F.xxhash64("wrapper")).select(*keys, "wrapper").mapInArrow(run, "host string, part int, wrapper binary")
 
 
+def _met(pages: DataFrame, wrappers: DataFrame) -> tuple[DataFrame, Broadcast | None]:
+    """(page_id, url, html, host, wrapper) of each page; the wrappers of all hosts, if they are sent instead."""
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
+    rows = pages.select(F.col("page_id"), F.col("url"), F.col("html"), _host().alias("host"))
+    if size <= SEND:
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["wrapper"]) for r in wrappers.collect()})
+        return rows.select("page_id", "url", "html", "host", F.lit(None).cast("binary").alias("wrapper")), sent
+    # pages of a hot host meet copies of its wrapper in SALTS places
+    copies = wrappers.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(copies.hint("shuffle_hash"), ["host", "part"], "left").select("page_id", "url", "html", "host", "wrapper"), None
+
+
+def _opened(known: dict[str, Wrapper | None], host: str, raw: pa.BinaryScalar, sent: Broadcast | None) -> Wrapper | None:
+    """The wrapper of a host; known keeps the last ones."""
+    if host not in known:
+        if len(known) > 500:
+            known.clear()
+        blob = sent.value.get(host) if sent is not None else raw.as_py()
+        known[host] = pickle.loads(blob) if blob else None
+    return known[host]
+
+
+def _templates(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(host, found): node, hash and pages of the template texts of each host that has any."""
+    rows, sent = _met(pages, wrappers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Wrapper | None] = {}
+        counts: Counter[tuple[str, int, int, int]] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in counts], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64()))), pa.array(list(counts.values()), pa.int64())], ["host", "pages", "node", "hash", "n"])
+
+        for batch in batches:
+            for html, host, raw in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
+                w = _opened(known, host, raw, sent)
+                if w is not None and w.pages >= LEAST_PAGES and html.is_valid and (text := html.as_py()):
+                    counts.update((host, w.pages, *x) for x in w.filled(Page(text)))
+                if len(counts) >= TALLY:
+                    yield out()
+                    counts.clear()
+        if counts:
+            yield out()
+
+    counts = rows.select("html", "host", "wrapper").mapInArrow(run, "host string, pages long, node int, hash long, n long")
+    found = counts.groupBy("host", "pages", "node", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), CONSTANT * F.col("pages")))
+    return found.groupBy("host").agg(F.collect_list(F.struct("node", "hash", "n")).alias("found"))
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """(host, part, wrapper) with part 0: the wrapper of each host, over all its pages."""
     common.prepare(pages.sparkSession)
-    return common.materialise(_merged(_merged(_built(pages), ["host", "part"]), ["host"]), "wrappers")
+    wrappers = common.materialise(_merged(_merged(_built(pages), ["host", "part"]), ["host"]), "wrappers")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for blob, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                w = pickle.loads(blob)
+                for x in found or []:
+                    w.texts[x["node"]][x["hash"]] = x["n"]
+                out.append(pickle.dumps(w, 5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["host", "part", "wrapper"])
+
+    joined = wrappers.join(_templates(pages, wrappers), "host", "left").select("host", "part", "wrapper", "found")
+    return common.materialise(joined.mapInArrow(run, "host string, part int, wrapper binary"), "templates")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
-    spark = pages.sparkSession
-    wrappers = induce(pages)
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    rows = pages.select(F.col("page_id"), F.col("url"), F.col("html"), _host().alias("host"))
-    sent = None
-    if size <= SEND:
-        sent = spark.sparkContext.broadcast({r["host"]: bytes(r["wrapper"]) for r in wrappers.collect()})
-        rows = rows.select("page_id", "url", "html", "host", F.lit(None).cast("binary").alias("wrapper"))
-    else:  # pages of a hot host meet copies of its wrapper in SALTS places
-        copies = wrappers.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(copies.hint("shuffle_hash"), ["host", "part"], "left").select("page_id", "url", "html", "host", "wrapper")
+    rows, sent = _met(pages, induce(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Wrapper] = {}
+        known: dict[str, Wrapper | None] = {}
         for batch in batches:
-            out = []
-            for html, host, raw in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4)):
-                if host not in known:
-                    if len(known) > 500:
-                        known.clear()
-                    blob = sent.value.get(host) if sent is not None else raw.as_py()
-                    known[host] = pickle.loads(blob) if blob else None
-                out.append(extract(html.as_py(), known[host]))
+            out = [extract(html.as_py(), _opened(known, host, raw, sent)) for html, host, raw in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -104,3 +104,19 @@ def test_merging_is_like_absorbing():
         (one if i % 2 else two).absorb(p)
     one.merge(two)
     assert one.pages == whole.pages == 8 and sorted(zip(one.label, one.count, one.mass)) == sorted(zip(whole.label, whole.count, whole.mass))
+
+
+@pytest.mark.parametrize("send", [wrapper.SEND, -1])
+def test_notices_go_from_pages_of_many_paragraphs(spark, monkeypatch, send):
+    monkeypatch.setattr(wrapper, "SEND", send)
+    rng = random.Random(4)
+    ps = {i: [sentence(rng, 8) for _ in range(30)] for i in range(24)}
+    notices = {"on all pages": range(24), "on half of them": range(0, 24, 2), "on fewer": range(11)}
+
+    def page(i):
+        own = ps[i] + [f"This notice is {k}" for k, on in notices.items() if i in on]
+        return "<article>" + "".join(f"<p>{x}</p>" for x in own) + "</article>"
+
+    rows = spark.createDataFrame([(i, "http://long.example.com/", page(i)) for i in ps], "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"].split("\n") for r in wrapper.extract_pages(rows).collect()}
+    assert got == {i: ps[i] + ["This notice is on fewer"] * (i < 11) for i in ps}
