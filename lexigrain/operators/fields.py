@@ -38,8 +38,12 @@ class Field:
 
 def with_stop_words(weight: float, words: Sequence[str], normaliser: Normaliser, share: float = STOP_SHARE) -> Callable[[Column], Column]:
     """A weight that stop words have a share of; the words are normalised as tokens are, to constants."""
-    forms = [normaliser.literal(w) for w in words]
-    return lambda token: F.lit(float(weight)) * F.when(token.isin(*forms), F.lit(share)).otherwise(F.lit(1.0))
+
+    def of(token: Column) -> Column:  # literals need a session, so they are made here and not when a module is imported
+        forms = [normaliser.literal(w) for w in words]
+        return F.lit(float(weight)) * F.when(token.isin(*forms), F.lit(share)).otherwise(F.lit(1.0))
+
+    return of
 
 
 def is_blank(text: Column) -> Column:

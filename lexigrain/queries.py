@@ -268,12 +268,12 @@ class Plain(DefaultNormaliser):
         return [lambda c: c]
 
 
-_CONV = f"""WITH {sql_tokens("SELECT conv_id AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS f, text FROM conversations WHERE turn > 0 AND regexp_matches(text, '[^" + SPACE + "]')", "key, f")}"""
+_CONV = f"""WITH {sql_tokens("SELECT conv_id AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS f, text FROM conversations WHERE regexp_matches(text, '[^" + SPACE + "]')", "key, f")}"""
 
 
 @query(f"{_CONV} SELECT key, CAST(f AS INTEGER) AS field_idx, count(*) AS n_tokens, CAST(max(src_idx) AS INTEGER) AS last_idx FROM toks GROUP BY key, f")
 def field_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("turn > 0").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("turns"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("turns"))
     found = occurrences(rows.withColumn("title", F.lit("  ")), "conv_id", [Field("title", 2), Field("turns")], Plain(), default_breaker())
     return found.groupBy("key", "field_idx").agg(F.count(F.lit(1)).alias("n_tokens"), F.max("src_idx").alias("last_idx"))
 
@@ -477,10 +477,10 @@ def io_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT vec_id, CAST(len(e) AS INTEGER) AS n, e[3] AS third, e[-1] AS last, list_contains(e, 5) AS has_five, CAST(len(list_filter(e, lambda x: x > 0)) AS INTEGER) AS above,
         list_sort(e)[1] AS least, CAST(list_sum(list_concat(e[1:2], [7], e[3:])) AS BIGINT) AS inserted, CAST(list_sum(e[3:]) - coalesce(e[4], 0) AS BIGINT) AS removed
-    FROM (SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(round(CAST(x AS DOUBLE) * 20) AS BIGINT)) AS e FROM embeddings)"""
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 20) AS BIGINT)) AS e FROM embeddings)"""
 )
 def array_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.transform(F.slice("embedding", 1, 10), lambda x: F.round(x.cast("double") * 20).cast("long"))
+    e = F.transform("embedding", lambda x: F.round(x.cast("double") * 20).cast("long"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e"))
     a = F.col("e")
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
