@@ -117,7 +117,8 @@ def occurrences(table: DataFrame, key: str | Column, fields: Sequence[fields_.Fi
     """token, key, field_idx, token_idx, src_idx, src_len, contrib of every token that is valid."""
     texts = fields_.sections(table, key, fields).withColumn("_row", F.struct("_source", "field_idx"))
     tokens = breaker.break_text(texts, positions)
-    formed = normaliser.add(tokens, "token", "token").where("token <> ''")
+    # Catalyst would push the filter below the normaliser's projections, each of which repeats the one before; a projection that isn't deterministic stops it
+    formed = normaliser.add(tokens, "token", "token").withColumn("_here", F.monotonically_increasing_id()).where("token <> '' AND _here >= 0")
     weight = fields[0].weight_of(F.col("token"))
     if len(fields) > 1:
         weight = F.when(F.col("retriever") == 0, weight)
