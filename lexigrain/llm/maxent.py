@@ -50,6 +50,10 @@ LEAVES = TAIL_CLASSES * BRANCHES * TWIGS
 BUCKETS = 1 << 15
 FEATURES = 3
 ROUNDS, STEP_TOKENS, RATE = 2, 65536, 0.4
+#: Largest size of a weight: three of them don't leave the range of a float32's exponential.
+LIMIT = 25.0
+#: Rows of weights that are shuffled together, and occurrences of a row in a step from which it is summed alone.
+SHARD, LONG = 256, 24
 #: Bytes of text in a block, blocks of a training task, and dictionary entries of a range.
 BLOCK, TASK_BLOCKS, RANGE = 4 << 20, 6, 500_000
 
@@ -315,37 +319,64 @@ def _factors(model: Model, feats: list[np.ndarray], klass: np.ndarray, slot: np.
         yield 3, tail, model.twig_bias[branch], _inner_rows(own, CLASSES + branch), leaf[tail] % TWIGS
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
 def _logits(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = table[rows[0]]
+    z = np.take(table, rows[0], axis=0)
     for r in rows[1:]:
-        z += table[r]
+        z += np.take(table, r, axis=0)
     z += bias
     return z
 
 
+def _powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z), in the place of z, and its sum by row. LIMIT keeps both within range, so that no maximum is taken off."""
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
+
+
+def _sums(rows: list[np.ndarray], gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row that occurs in one of the lists, and the sum of the gradients at which it does.
+
+    Rows that occur LONG times and more are sums of their own; of the others, the k-th occurrences of all are added at once.
+    """
+    n = len(gradient)
+    r = np.concatenate(rows)
+    order = np.argsort(r, kind="stable")  # 16 bits: a radix sort
+    r, source = r[order], order % n
+    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    run = np.diff(np.r_[first, len(r)])
+    by = np.argsort(np.minimum(LONG, run).astype(np.uint8), kind="stable")[::-1]
+    first, run = first[by], run[by]
+    out = np.take(gradient, source[first], axis=0)
+    long = int((run >= LONG).sum())
+    ones = np.ones(int(run.max(initial=1)), gradient.dtype)
+    for i, (at, size) in enumerate(zip(first[:long].tolist(), run[:long].tolist())):
+        out[i] = ones[:size] @ np.take(gradient, source[at : at + size], axis=0)
+    rest, start = out[long:], first[long:]
+    more = len(start) - np.cumsum(np.bincount(run[long:], minlength=LONG))  # at k: how many occur more than k times
+    for k in range(1, LONG):
+        m = int(more[k])
+        if not m:
+            break
+        rest[:m] += np.take(gradient, source[start[:m] + k], axis=0)
+    return r[first], out
+
+
 def _descend(table: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], gradient: np.ndarray) -> None:
     """One adaptive gradient step on the touched rows."""
-    total = np.zeros_like(table)
-    for r in rows:
-        order = np.argsort(r, kind="stable")  # 16 bits: a radix sort
-        r = r[order]
-        at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        total[r[at]] += np.add.reduceat(gradient[order], at, axis=0)
-    touched = np.unique(np.concatenate(rows)) if len(rows[0]) * len(rows) < BUCKETS else slice(None)
-    g = total[touched]
-    s = squares[touched] + g * g
+    touched, g = _sums(rows, gradient)
+    s = np.take(squares, touched, axis=0)
+    s += g * g
     squares[touched] = s
-    table[touched] -= RATE * g / np.sqrt(s + 1.0)
+    s += 1
+    np.sqrt(s, out=s)
+    g *= RATE
+    g /= s
+    np.subtract(np.take(table, touched, axis=0), g, out=g)
+    table[touched] = np.clip(g, -LIMIT, LIMIT, out=g)
 
 
-def _train_task(rows: Iterator[dict], model: Model) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(factor, row, tokens, change) of touched rows after local steps over the task's blocks."""
+def _train_task(rows: Iterator[dict], model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each factor: (factor, touched rows, tokens, change) after local steps over the task's blocks."""
     tables = [t.copy() for t in model.weights()]
     squares = [np.zeros_like(t) for t in tables]
     seen = [np.zeros(len(t), dtype=np.int64) for t in tables]
@@ -357,14 +388,15 @@ def _train_task(rows: Iterator[dict], model: Model) -> Iterator[tuple[int, int,
             at = where[lo : lo + STEP_TOKENS]
             feats, token = [f[at] for f in b.feats], b.tokens[at]
             for k, which, bias, own, outcome in _factors(model, feats, b.klass[token], b.slot[token], b.leaf[token]):
-                g = np.exp(_log_softmax(_logits(bias, tables[k], own)))
+                g, total = _powers(_logits(bias, tables[k], own))
+                g /= total[:, None]
                 g[np.arange(len(which)), outcome] -= 1
                 _descend(tables[k], squares[k], own, g)
                 for r in own:
                     seen[k] += np.bincount(r, minlength=BUCKETS)
     for k, start in enumerate(model.weights()):
-        for r in np.flatnonzero(seen[k]).tolist():
-            yield k, r, int(seen[k][r]), tables[k][r] - start[r]
+        r = np.flatnonzero(seen[k])
+        yield k, r, seen[k][r], tables[k][r] - start[r]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -379,33 +411,32 @@ def _round(blocks: DataFrame, model: Model, nth: int, n_blocks: int) -> Model:
     shared = spark.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = list(_train_task(_rows(batches), shared.value))
-        for k in range(len(shared.value.weights())):
-            own = [x for x in out if x[0] == k]
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array([x[1] for x in own], pa.int32()), pa.array([x[2] for x in own], pa.int64()), pa.array([x[3].astype("<f2").tobytes() for x in own], pa.binary())], ["factor", "row", "tokens", "change"])
+        for k, r, n, change in _train_task(_rows(batches), shared.value):
+            cuts = [0, *np.searchsorted(r, range(SHARD, BUCKETS, SHARD)).tolist(), len(r)]
+            own = [(i, slice(lo, hi)) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if lo < hi]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array([i for i, _ in own], pa.int32()), pa.array([r[x].astype("<u2").tobytes() for _, x in own], pa.binary()), pa.array([n[x].astype("<i8").tobytes() for _, x in own], pa.binary()), pa.array([change[x].astype("<f2").tobytes() for _, x in own], pa.binary())], ["factor", "shard", "rows", "tokens", "change"])
 
     share = blocks.select("block", "held", "lengths", "tokens", "hashes", "tails").where(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == nth)
-    changes = share.drop("block").coalesce(max(1, n_blocks // (ROUNDS * TASK_BLOCKS))).mapInArrow(run, "factor int, row int, tokens long, change binary")
+    changes = share.drop("block").coalesce(max(1, n_blocks // (ROUNDS * TASK_BLOCKS))).mapInArrow(run, "factor int, shard int, rows binary, tokens binary, change binary")
+    widths = [t.shape[1] for t in model.weights()]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], list] = {}
+        sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for k, r, n, x in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.frombuffer(x, dtype="<f2").astype(np.float64) * n
-                if (k, r) in sums:
-                    sums[k, r][0] += n
-                    sums[k, r][1] += x
-                else:
-                    sums[k, r] = [n, x]
-        keys = sorted(sums)
-        for lo in range(0, len(keys), 2000):
-            own = keys[lo : lo + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([r for _, r in own], pa.int32()), pa.array([(sums[x][1] / sums[x][0]).astype("<f4").tobytes() for x in own], pa.binary())], ["factor", "row", "mean"])
+            for k, i, rows, tokens, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, i) not in sums:
+                    sums[k, i] = np.zeros(SHARD, dtype=np.int64), np.zeros((SHARD, widths[k]))
+                r, n = np.frombuffer(rows, dtype="<u2").astype(np.int64) - i * SHARD, np.frombuffer(tokens, dtype="<i8")
+                sums[k, i][0][r] += n
+                sums[k, i][1][r] += np.frombuffer(x, dtype="<f2").reshape(-1, widths[k]).astype(np.float64) * n[:, None]
+        if sums:
+            means = [(x / np.maximum(n, 1)[:, None]).astype("<f4").tobytes() for n, x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int32()), pa.array([i for _, i in sums], pa.int32()), pa.array(means, pa.binary())], ["factor", "shard", "mean"])
 
     weights = [t.copy() for t in model.weights()]
-    for r in changes.repartition("factor", "row").mapInArrow(add, "factor int, row int, mean binary").collect():  # at most 4 * BUCKETS rows
-        weights[r["factor"]][r["row"]] += np.frombuffer(r["mean"], dtype="<f4")
+    for r in changes.repartition("factor", "shard").mapInArrow(add, "factor int, shard int, mean binary").collect():  # at most the size of the model
+        k, lo = r["factor"], r["shard"] * SHARD
+        weights[k][lo : lo + SHARD] = np.clip(weights[k][lo : lo + SHARD] + np.frombuffer(r["mean"], dtype="<f4").reshape(SHARD, -1), -LIMIT, LIMIT)
     shared.destroy()
     return Model(**(model.__dict__ | dict(zip(("class_weights", "member_weights", "branch_weights", "twig_weights"), weights))))
 
@@ -426,7 +457,9 @@ def _score_block(row: dict, model: Model) -> tuple[np.ndarray, ...]:
         part = slice(lo, min(n, lo + STEP_TOKENS))
         feats, token = [f[part] for f in b.feats], b.tokens[part]
         for k, which, bias, own, outcome in _factors(model, feats, klass[token], b.slot[token], b.leaf[token]):
-            score[lo + which] += _log_softmax(_logits(bias, tables[k], own))[np.arange(len(which)), outcome]
+            z = _logits(bias, tables[k], own)
+            score[lo + which] += z[np.arange(len(which)), outcome]
+            score[lo + which] -= np.log(_powers(z)[1])
     start = np.cumsum(b.lengths) - b.lengths
     add = lambda x: np.add.reduceat(x, start) if len(start) else x
     return b.lengths, add(known[b.tokens].astype(np.int64)), add(base[b.tokens]) / np.log(10), add(score) / np.log(10)
