@@ -12,13 +12,17 @@ component of more than BLOCK members is split into pairs of blocks, each a task
 a hot group is neither capped nor held in one task. Work within a group of g different texts is
 g*g/2 comparisons, since each link counts; copies of one text cost nothing.
 
-Candidates are found with probability 1 - (1 - s**ROWS)**BANDS for similarity s: 0.99986 at 0.6,
-0.999997 at 0.65; a pair that misses all buckets is still compared if its component joins them.
+A pair of similarity s meets in a bucket with probability 1 - (1 - s**ROWS)**BANDS. Bands and the
+pruning of buckets and components together keep 0.9998 of the pairs at 0.6, 0.99995 at 0.62 and
+more than 0.99999 from 0.65 (simulated); a pair that misses all buckets is still compared if its
+component joins them.
 
 Cases: null text, empty text and text without words have no n-grams, no links and are their own
-class; a text of one word has that word as its n-gram; rows of equal doc_id count as that one
-document; ties of a group are resolved to the smallest doc_id; empty tables give no rows; other
-columns are ignored (links) or kept (keep_one).
+class; a text of one word has that word as its n-gram. A document is a doc_id with its text: rows
+equal in both count once, and keep_one leaves one of them; a doc_id with two texts is two documents, each with
+a row of its own; null is a doc_id like others, but stands for a group only if all of it is null. All rows
+without words of one doc_id are one document for links, and all stay in keep_one. Ties of a group are resolved to the smallest
+doc_id; empty tables give no rows; other columns are ignored (links) or kept (keep_one).
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import md5
 from itertools import groupby
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,7 @@ from . import common, kernels
 N, THRESHOLD = 2, 0.6
 BANDS, ROWS = 64, 4
 LANES = BANDS * ROWS
-STEP, TOLERANCE = 32, 1e-4
+STEP, TOLERANCE = 32, 1e-6
 #: Values of a signature that buckets compare; components compare all.
 BUCKET_LANES = 128
 #: Members of a bucket or component that one task compares with as many others.
@@ -149,11 +154,11 @@ class _Sets:
 
 
 def _signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, digest of the text (null for none) and signature of each row."""
+    """A number of its own (class_id), doc_id, digest of the text (null for none) and signature of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = kernels.strings(batch.column(1))
+            data, off = kernels.strings(batch.column(2))
             digest, sig = [], []
             seen: dict[bytes, bytes] = {}
             for lo, hi in kernels.chunks(off):
@@ -163,23 +168,27 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
                         seen[d] = signature(g).tobytes()
                     digest.append(d)
                     sig.append(seen.get(d))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["class_id", "doc_id", "digest", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, digest binary, sig binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("class_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "class_id long, doc_id long, digest binary, sig binary")
+
+
+def _digest(text: Column) -> Column:
+    """The digest that _signatures gives texts with words."""
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
 
 
 def _with_sets(members: DataFrame, n: int) -> DataFrame:
-    """comp, class_id, size, signature and n-gram set of the rows whose text has the class's digest."""
+    """comp, class_id, size, signature and n-gram set of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = kernels.strings(batch.column(4))
-            own = [i for i, d in enumerate(batch.column(3).to_pylist()) if md5(data[off[i] : off[i + 1]].tobytes()).digest() == d]
-            sets = [g for i in own for g in gram_sets(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), n)]
-            kept = batch.select([0, 1, 2]).take(pa.array(own, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([signature(g).tobytes() for g in sets], pa.binary()), pa.array([pack(g) for g in sets], pa.binary())], ["comp", "class_id", "size", "sig", "grams"])
+            data, off = kernels.strings(batch.column(3))
+            sets = [g for lo, hi in kernels.chunks(off) for g in gram_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([signature(g).tobytes() for g in sets], pa.binary()), pa.array([pack(g) for g in sets], pa.binary())], ["comp", "class_id", "size", "sig", "grams"])
 
-    return members.select("comp", "class_id", "size", "digest", "text").mapInArrow(run, "comp long, class_id long, size long, sig binary, grams binary")
+    return members.select("comp", "class_id", "size", "text").mapInArrow(run, "comp long, class_id long, size long, sig binary, grams binary")
 
 
 def _band_keys(classes: DataFrame) -> DataFrame:
@@ -311,40 +320,73 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return now.select("class_id", "comp")
 
 
-def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per doc_id: class_id (smallest doc_id of equal text), group_id (smallest class_id of
-    the texts connected by links), n_links (other texts at or above the threshold), n_copies
-    (documents of the class)."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    made = common.materialise(_signatures(docs, n), "signatures")
-    ids = made.groupBy("doc_id").agg(F.max("digest").alias("digest"))  # rows of one id are one document
-    classes = common.materialise(ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies")), "classes")
-    reps = made.where("digest IS NOT NULL").join(classes.select("digest", F.col("class_id").alias("doc_id")), ["doc_id", "digest"], "left_semi").groupBy(F.col("doc_id").alias("class_id")).agg(F.max("sig").alias("sig"))
-    reps = common.materialise(reps, "classes")
+def _first(*more: str) -> Column:
+    """The least of a group: known doc_ids before null, small ones before large."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "class_id", *more))
+
+
+def _documents(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, digest, n_rows) and classes (digest, class_id, n_copies, n_links, group_id, and whether
+    the class has its group's first document: first), where class_id and group_id are doc_ids."""
+    common.prepare(docs.sparkSession)
+    made = common.materialise(_signatures(docs, n), "signatures")  # numbers of rows hold once they are written
+    found = made.groupBy("doc_id", "digest").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
+    first = found.where("digest IS NOT NULL").groupBy("digest").agg(_first().alias("first"), F.count(F.lit(1)).alias("n_copies"))
+    classes = common.materialise(first.select("digest", "first.class_id", "first.doc_id", "n_copies"), "classes")
+    reps = common.materialise(made.join(classes.select("class_id"), "class_id", "left_semi").select("class_id", "sig"), "classes")
     keys = _band_keys(reps).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
     candidates = keys.join(reps.withColumn("sig", F.substring("sig", 1, 2 * BUCKET_LANES)), "class_id")
     edges = common.materialise(_bucket_edges(_in_blocks(candidates, "key", F.col("size")), threshold).distinct(), "edges")
     comps = components(edges, "near")
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text")
-    members = comps.join(sizes, "comp").join(classes.select("class_id", "digest"), "class_id").join(texts, "class_id")
+    wanted = comps.join(sizes, "comp").join(classes.select("class_id", F.col("doc_id").alias("own"), F.col("digest").alias("known")), "class_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest(F.col("text")).alias("digest"))
+    members = wanted.join(texts, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("known") == F.col("digest")))
     members = _with_sets(members, n).dropDuplicates(["class_id"])
-    found = common.materialise(_verified(_in_blocks(members, "comp", F.col("size")), threshold), "verified")
-    groups = components(found.select(F.col("class_id").alias("a"), F.col("to").alias("b")), "linked")
-    counts = found.groupBy("class_id").agg(F.sum("links").alias("n_links"))
+    verified = common.materialise(_verified(_in_blocks(members, "comp", F.col("size")), threshold), "verified")
+    linked = components(verified.select(F.col("class_id").alias("a"), F.col("to").alias("b")), "linked")
+    counts = verified.groupBy("class_id").agg(F.sum("links").alias("n_links"))
+    heads = linked.join(classes.select("class_id", "doc_id"), "class_id").groupBy("comp").agg(_first().alias("head"))
+    groups = linked.join(heads, "comp").select("class_id", "head")
     known = classes.join(counts, "class_id", "left").join(groups, "class_id", "left")
-    return ids.join(known, "digest", "left").select(
+    return found.select("doc_id", "digest", "n_rows"), known.select(
+        "digest",
+        F.col("doc_id").alias("class_id"),
+        "n_copies",
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("group_id"),
+        (F.col("head").isNull() | (F.col("head.class_id") == F.col("class_id"))).alias("first"),
+    )
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id of equal text), group_id (smallest class_id of
+    the texts connected by links), n_links (other texts at or above the threshold), n_copies
+    (documents of the class)."""
+    found, classes = _documents(docs, n, threshold)
+    alone = F.col("n_copies").isNull()
+    return found.drop("n_rows").join(classes, "digest", "left").select(
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("comp", "class_id", "doc_id").alias("group_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
     )
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs less all but one document (the smallest doc_id) of each group of linked or equal texts."""
-    found = links(docs, n, threshold)
-    drop = found.where("group_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """docs less all but one row of each group of linked or equal texts: a row of the group's first document.
+    Rows without words stay."""
+    found, classes = _documents(docs, n, threshold)
+    # of a class that isn't its group's first no document stays; of one that is, the document of class_id
+    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    judged = found.where("digest IS NOT NULL").join(classes.select("digest", "class_id", "first"), "digest").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), stays.alias("_stays"), (F.col("n_rows") > 1).alias("_again"))
+    judged = common.materialise(judged.where("NOT _stays OR _again"), "judged")
+    mark = f"_digest_{uuid4().hex}"
+    rows = docs.withColumn(mark, _digest(F.col("text")))
+    same = F.col("_doc").eqNullSafe(rows["doc_id"].cast("long")) & (F.col("_digest") == rows[mark])
+    out = rows.join(judged, same, "left_anti").drop(mark)
+    again = judged.where("_stays")
+    if again.limit(1).count():  # equal rows of a document that stays: one of them
+        out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark))
+    return out

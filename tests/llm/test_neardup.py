@@ -83,6 +83,35 @@ def test_repeated_rows_count_once(spark):
     assert result(neardup.links(docs)) == {1: (1, 1, 0, 2), 2: (1, 1, 0, 2)}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, ids with two texts and null ids; extra columns, one of them named like an inner one."""
+    rows = [
+        (1, "a b c d", "p"), (1, "a b c d", "p"), (2, "a b c d", "q"),  # copies
+        (3, "k l m n", "r"), (3, "clean words of no other text", "s"), (4, "k l m n", "t"),  # two texts of one id
+        (5, "k l m n", "u"), (5, "other clean words", "v"),  # a copy and a clean text of one id
+        (None, "x y z", "w"), (None, "x y z", "w"), (None, "nobody has this", "x"), (None, "a b c d", "y"),
+        (6, "", "z"), (6, None, "z"), (None, "...", "z"), (7, "x y z", "aa"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, digest string").repartition(3)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    want = [(1, "a b c d"), (3, "k l m n"), (3, "clean words of no other text"), (5, "other clean words"), (7, "x y z"), (None, "nobody has this"), (6, ""), (6, None), (None, "...")]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+    found = sorted(str(tuple(r)) for r in neardup.links(docs).collect())
+    assert found == sorted(map(str, [(1, 1, 1, 0, 3), (2, 1, 1, 0, 3), (None, 1, 1, 0, 3), (3, 3, 3, 0, 3), (4, 3, 3, 0, 3), (5, 3, 3, 0, 3), (3, 3, 3, 0, 1), (5, 5, 5, 0, 1), (None, 7, 7, 0, 2), (7, 7, 7, 0, 2), (None, None, None, 0, 1), (6, 6, 6, 0, 1), (None, None, None, 0, 1)]))
+
+
+def test_tolerance_loses_few_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for s, most in ((0.6, 6e-4), (0.65, 4e-5)):
+        match = rng.random((100_000, neardup.LANES)) < s
+        met = match.reshape(len(match), neardup.BANDS, neardup.ROWS).all(2).any(1)
+        kept = (match.reshape(len(match), -1, neardup.STEP).sum(2).cumsum(1) >= np.array(neardup.least_matches())).all(1)
+        assert 1 - (met & kept).mean() < most
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_gram_sets_of_other_length(n):
     import numpy as np
