@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -38,6 +39,30 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE
 _ODD = regex.compile("[\x1c-\x1f]")
 
 
+#: Code points that the regex module has as letters or numbers and the library's older Unicode doesn't.
+_NEW = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb "
+    "11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 "
+    "191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 "
+    "1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
+#: Letters that the library lower-cases and this Python doesn't yet: ranges, and what is added to them.
+_LOWERS = "1c89-1c89+1 a7cb-a7cb-42343 a7cc-a7cc+1 a7ce-a7ce+1 a7d2-a7d2+1 a7d4-a7d4+1 a7da-a7da+1 a7dc-a7dc-42561 10d50-10d65+32 16ea0-16eb8+27"
+
+
+def _spans(text: str) -> Iterator[tuple[int, int, int]]:
+    for m in re.finditer(r"([0-9a-f]+)(?:-([0-9a-f]+))?([+-]\d+)?", text):
+        yield int(m[1], 16), int(m[2] or m[1], 16), int(m[3] or 0)
+
+
+_NEW_CLASS = "".join(rf"\U{a:08x}-\U{z:08x}" for a, z, _ in _spans(_NEW))
+_ANY_NEW = regex.compile(f"[{_NEW_CLASS}]")
+#: _PIECE with these as symbols.
+_OLDER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_NEW_CLASS}]]+|[\p{{N}}--[{_NEW_CLASS}]]|[[^{_WHITE}\p{{L}}\p{{N}}][{_NEW_CLASS}]]+")
+_LOWER = {c: c + d for a, z, d in _spans(_LOWERS) for c in range(a, z + 1)}
+_ANY_LOWER = regex.compile("[" + "".join(rf"\U{a:08x}-\U{z:08x}" for a, z, _ in _spans(_LOWERS)) + "]")
+
+
 def byte_alphabet() -> list[str]:
     """Printable stand-ins of the 256 bytes: printable Latin-1 stands for itself, the rest from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -117,7 +142,10 @@ class Bpe:
             elif part:
                 if not part.isascii():
                     part = normalize("NFC", part).replace("Σ", "σ")  # lower() alone would see word ends
-                for p in _PIECE.findall(part.lower()):
+                    if _ANY_LOWER.search(part):
+                        part = part.translate(_LOWER)
+                part = part.lower()
+                for p in (_PIECE if part.isascii() or not _ANY_NEW.search(part) else _OLDER).findall(part):
                     out += self.piece(p)
         return out
 
