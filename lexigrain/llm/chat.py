@@ -5,10 +5,14 @@ prefixes of 1, 2, ... turns and compares consecutive outputs: if each output beg
 before, what was added is the span of the new turn; if not, the template rewrites history and
 has no such spans. Nothing is assumed about how the template works.
 
-A conversation longer than WINDOW turns is rendered window by window, so that neither time nor
-memory is quadratic in its length. That is exact if rendering is additive, which is checked at
-every border: two adjoining windows rendered together must equal the two renderings joined. From a
-border where it fails, the template counts as one that rewrites history.
+A conversation longer than WINDOW turns is rendered window by window, so that time isn't quadratic in
+its length. That is exact if rendering is additive, which is checked at every border: all turns so far,
+rendered together, must equal the windows' renderings joined. Where they don't (a template that begins with
+something once, numbers turns or cuts old ones), the window's prefixes are rendered from the conversation's start,
+as those of short conversations are; only a template whose outputs aren't prefixes of each other rewrites history.
+
+marked(), the template of the table operators, is additive by its make: with it, windows are streamed and checked
+against their neighbour only.
 
 Rows are hash-partitioned by conversation, sorted by turn and streamed, so that a conversation
 of any length passes through one task without being held there; its digests are updated window
@@ -54,11 +58,13 @@ def unescape(text: str) -> str:
 
 
 def _role(role: str) -> str:
-    return escape(role).replace("\\n", "\\\\n").replace("\n", "\\n") if "\n" in role or "\\n" in role else escape(role)
+    """A role in one line: backslashes are doubled and line feeds named."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n") if "\\" in role or "\n" in role else role)
 
 
 def _unrole(role: str) -> str:
-    return unescape(re.sub(r"\\(\\n|n)", lambda m: "\n" if m[1] == "n" else "\\n", role))
+    role = unescape(role)
+    return re.sub(r"\\(\\|n)", lambda m: "\n" if m[1] == "n" else "\\", role) if "\\" in role else role
 
 
 def marked(turns: list[Turn]) -> str:
@@ -99,12 +105,34 @@ def locate(template: Template, turns: list[Turn], done: int = 0, before: str = "
 
 
 def windows(template: Template, turns: Iterator[Turn], size: int = WINDOW) -> Iterator[tuple[list[Turn], Located]]:
-    """Turns and spans window by window; from a border where the template isn't additive, spans are None."""
+    """Turns, output and spans (within that output) window by window, for any template: keeps the turns of
+    the conversation. From the first prefix that rewrites history, spans are None and a window's output is that of its turns alone."""
+    every: list[Turn] = []
+    before, rewrites = "", False
+    while window := list(islice(turns, size)):
+        done = len(every)
+        every += window
+        found = locate(template, window)
+        if not rewrites and done:
+            now = template(every)
+            if found.ends is None or now != before + found.formatted:
+                true = locate(template, every, done, before)
+                rewrites = true.ends is None
+                if not rewrites:
+                    found = Located(now[len(before) :], [end - len(before) for end in true.ends])
+            before = now
+        else:
+            before, rewrites = found.formatted, rewrites or found.ends is None
+        yield window, Located(found.formatted, None) if rewrites else found
+
+
+def streamed(template: Template, turns: Iterator[Turn], size: int = WINDOW) -> Iterator[tuple[list[Turn], Located]]:
+    """As windows(), for a template that renders each turn alone: keeps two windows, and fails if they show that it isn't so."""
     last: tuple[list[Turn], Located] | None = None
     while window := list(islice(turns, size)):
         found = locate(template, window)
-        if last is not None and (last[1].ends is None or template(last[0] + window) != last[1].formatted + found.formatted):
-            found = Located(found.formatted, None)
+        if found.ends is None or last is not None and template(last[0] + window) != last[1].formatted + found.formatted:
+            raise ValueError("the template doesn't render each turn alone")
         yield window, found
         last = window, found
 
@@ -151,10 +179,9 @@ def digests(conversations: DataFrame) -> DataFrame:
         out: list[tuple] = []
         for conv, rows in groupby(_rows(batches), key=lambda r: r[0]):
             n = loss_chars = formatted_chars = 0
-            turns_hash, loss_hash, rewrites = sha256(), sha256(), False
-            for turns, found in windows(marked, (r[1:] for r in rows)):
+            turns_hash, loss_hash = sha256(), sha256()
+            for turns, found in streamed(marked, (r[1:] for r in rows)):
                 formatted_chars += len(found.formatted)
-                rewrites |= found.ends is None
                 back = read(found.formatted)
                 n += len(back)
                 turns_hash.update("".join([f"{r}\n{t}\n" for r, t in back]).encode("utf-8"))
@@ -162,7 +189,7 @@ def digests(conversations: DataFrame) -> DataFrame:
                     text = unescape(text)
                     loss_chars += len(text)
                     loss_hash.update(text.encode("utf-8"))
-            out.append((conv, n, turns_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), formatted_chars, rewrites))
+            out.append((conv, n, turns_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), formatted_chars, False))
             if len(out) >= common.BATCH_ROWS:
                 yield _batch(out)
                 out = []
@@ -188,7 +215,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, rows in groupby(_rows(batches), key=lambda r: r[0]):
-            for part, (turns, _) in enumerate(windows(marked, (r[1:] for r in rows))):
+            for part, (turns, _) in enumerate(streamed(marked, (r[1:] for r in rows))):
                 text, spans = mask(turns)
                 yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([part], pa.int32()), pa.array([text], pa.string()), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["conv_id", "part", "formatted", "loss_spans"])
 

@@ -12,7 +12,8 @@ size whatever the corpus, and scoring is one narrow pass over whole texts.
 
 Cases: null text, empty text and text without letters give `und` and score 0; ties go to the
 language first in order; equal texts give equal rows; an untrainable (empty or unlabelled) table
-gives `und` throughout.
+gives `und` throughout. Rows of null doc_id are predicted but not learnt from; of rows that repeat a
+doc_id and language, one is.
 """
 
 from __future__ import annotations
@@ -192,18 +193,18 @@ def _remainder(doc_id: Column, by: int) -> Column:
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """lang, part and windows of each text; short texts are one window."""
+    """lang, pick, part and windows of each text; short texts are one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 raw = text.encode("utf-8")
                 starts = np.unique(np.linspace(0, max(0, len(raw) - SPAN), WINDOWS).astype(int)) if len(raw) > SPAN else [0]
                 out.append([raw[s : s + SPAN] for s in starts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["lang", "part", "windows"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.binary()))], ["lang", "pick", "part", "windows"])
 
-    return docs.select("lang", "part", "text").mapInArrow(run, "lang string, part long, windows array<binary>")
+    return docs.select("lang", "pick", "part", "text").mapInArrow(run, "lang string, pick string, part long, windows array<binary>")
 
 
 def train(docs: DataFrame, learn: Column | None = None, per_lang: int = PER_LANG) -> Model:
@@ -215,7 +216,8 @@ def train(docs: DataFrame, learn: Column | None = None, per_lang: int = PER_LANG
         ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "pick"))).where(F.col("nth") <= per_lang).drop("nth")
     chosen = F.broadcast(ids.select("pick").distinct())
     sample = rows.join(chosen, rows["doc_id"] == chosen["pick"], "left_semi")
-    found = _windows(sample.select("lang", _remainder(F.col("doc_id"), 4).alias("part"), "text")).collect()
+    windows = _windows(sample.select("lang", F.col("doc_id").cast("string").alias("pick"), _remainder(F.col("doc_id"), 4).alias("part"), "text"))
+    found = windows.groupBy("lang", "pick", "part").agg(F.min("windows").alias("windows")).collect()  # rows that repeat an id count as one
     by_key = sorted(((r["lang"], r["part"] == 3, [bytes(w) for w in r["windows"]]) for r in found), key=lambda r: (r[0], r[1], r[2]))
     return fit(by_key)
 
