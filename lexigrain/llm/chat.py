@@ -34,6 +34,7 @@ from itertools import groupby, islice
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -191,17 +192,23 @@ def digests(conversations: DataFrame) -> DataFrame:
                     loss_hash.update(text.encode("utf-8"))
             out.append((conv, n, turns_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), formatted_chars, False))
             if len(out) >= common.BATCH_ROWS:
-                yield _batch(out)
+                yield _batch(out, key)
                 out = []
         if out:
-            yield _batch(out)
+            yield _batch(out, key)
 
-    kind = conversations.schema["conv_id"].dataType.simpleString()
+    key, kind = _key(conversations)
     return _ordered(conversations).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+def _key(conversations: DataFrame) -> tuple[pa.DataType, str]:
+    """The type of conv_id, for Arrow and for Spark."""
+    kind = conversations.schema["conv_id"].dataType
+    return to_arrow_type(kind), kind.simpleString()
+
+
+def _batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+    kinds = [key, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites_history"]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
@@ -217,6 +224,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         for conv, rows in groupby(_rows(batches), key=lambda r: r[0]):
             for part, (turns, _) in enumerate(streamed(marked, (r[1:] for r in rows))):
                 text, spans = mask(turns)
-                yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([part], pa.int32()), pa.array([text], pa.string()), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["conv_id", "part", "formatted", "loss_spans"])
+                yield pa.RecordBatch.from_arrays([pa.array([conv], key), pa.array([part], pa.int32()), pa.array([text], pa.string()), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["conv_id", "part", "formatted", "loss_spans"])
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, part int, formatted string, loss_spans array<struct<start:long,end:long>>")
+    key, kind = _key(conversations)
+    return _ordered(conversations).mapInArrow(run, f"conv_id {kind}, part int, formatted string, loss_spans array<struct<start:long,end:long>>")

@@ -8,9 +8,10 @@ that fills its node on at least CONSTANT of the host's pages (and LEAST_PAGES) i
 varying slots are content, unless their element says otherwise (navigation, headers,
 footers, asides, forms, adverts, notices, comments by tag, role, class or id; lists of links).
 
-What is left is cut to the article: the article element, else main or an element named as
-content, else the node of the wrapper that holds most of the host's varying text. If template
-texts would take more than half of the article (copies of one page make all of it constant), they stay.
+What is left is cut to the article: all article elements but those that are mostly links, else main or elements
+named as content, else the node of the wrapper that holds most of the host's varying text. Template texts stay
+where pages are copies: on a page that has no other text, and, if they are more than half of all that the host's
+pages have in their articles, also on a page of which they are more than half.
 
 Wrappers are built by each task for the hosts it meets, and merged first within salts, then by
 host; a host of any size thus never passes through one task as pages, only as wrappers. The
@@ -244,6 +245,8 @@ class Wrapper:
         self.count, self.mass = [0], [0]
         #: pages on which each template text fills the node; empty until texts are counted
         self.texts: list[dict[int, int]] = [{}]
+        #: whether template texts are more than half of what the pages' articles hold
+        self.copies = False
         self._known: dict[tuple, list[int]] = {}
 
     def __getstate__(self) -> dict:
@@ -332,10 +335,11 @@ class Wrapper:
                 self.mass[at[node]] += len(text)
         self._prune()
 
-    def filled(self, page: Page) -> set[tuple[int, int]]:
-        """(node, hash) of the page's texts; each counts once a page."""
-        at = self.place(page)
-        return {(at[b[0]], h) for b, h in zip(page.blocks, page.hashes()) if at[b[0]] >= 0}
+    def filled(self, page: Page) -> tuple[set[tuple[int, int, int]], int]:
+        """(node, hash, characters) of the texts of the page's article, each counted once a page, and all its characters."""
+        at, kept = self.place(page), _kept(page, self)
+        texts = {(at[node], h, len(text)) for (node, text, _), h, k in zip(page.blocks, page.hashes(), kept) if k and at[node] >= 0}
+        return texts, sum(len(b[1]) for b, k in zip(page.blocks, kept) if k)
 
     def merge(self, other: Wrapper) -> None:
         at = self._grow(other)
@@ -392,14 +396,16 @@ def _article(page: Page, wrapper: Wrapper | None, good: list[bool]) -> list[bool
         tops = {i for i, k in enumerate(page.kind) if k == kind and page.state[i] in (_NONE, _MAY)}
         tops = {i for i in tops if not any(p in tops for p in _above(page, i))}
         if tops:
-            sizes = {}
+            sizes, linked = {}, {}
             for t in tops:
                 own = _inside(page, {t})
                 sizes[t] = sum(len(b[1]) for b, g, o in zip(page.blocks, good, own) if g and o)
+                linked[t] = sum(b[2] for b, g, o in zip(page.blocks, good, own) if g and o)
             most = max(sizes.values())
             total = sum(len(b[1]) for b, g in zip(page.blocks, good) if g)
             if most and (kind != "content" or 2 * most >= total):
-                return _inside(page, {t for t, s in sizes.items() if 4 * s >= most})
+                # what is mostly links points at other pages
+                return _inside(page, {t for t, s in sizes.items() if s and (s == most or 2 * linked[t] <= s)})
     if wrapper is not None:
         at, region = wrapper.place(page), wrapper.region()
         tops = {i for i, a in enumerate(at) if a == region}
@@ -428,21 +434,26 @@ def _above(page: Page, node: int) -> Iterator[int]:
         node = page.parent[node]
 
 
+def _kept(page: Page, wrapper: Wrapper | None) -> list[bool]:
+    """Whether each block is the article's, as far as its element tells."""
+    good = page.good()
+    own = _article(page, wrapper, good)
+    menus = _link_lists(page)
+    return [g and o and not (menus and any(i in menus for i in (b[0], *_above(page, b[0])))) for b, g, o in zip(page.blocks, good, own)]
+
+
 def extract(html: str | None, wrapper: Wrapper | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
     page = Page(html)
-    good = page.good()
-    own = _article(page, wrapper, good)
-    menus = _link_lists(page)
-    kept = [g and o and not (menus and any(i in menus for i in (b[0], *_above(page, b[0])))) for b, g, o in zip(page.blocks, good, own)]
+    kept = _kept(page, wrapper)
     if wrapper is not None and wrapper.pages >= LEAST_PAGES:
         at = wrapper.place(page)
         fixed = [k and wrapper.template(at[b[0]], h) for b, k, h in zip(page.blocks, kept, page.hashes())]
         size = sum(len(b[1]) for b, k in zip(page.blocks, kept) if k)
         gone = sum(len(b[1]) for b, f in zip(page.blocks, fixed) if f)
-        if 2 * gone <= size:
+        if 2 * gone <= size or gone < size and not wrapper.copies:
             kept = [k and not f for k, f in zip(kept, fixed)]
     return "\n".join(b[1] for b, k in zip(page.blocks, kept) if k)
 
@@ -518,30 +529,34 @@ def _opened(known: dict[str, Wrapper | None], host: str, raw: pa.BinaryScalar, s
 
 
 def _templates(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """(host, found): node, hash and pages of the template texts of each host that has any."""
+    """(host, found): node, hash, characters and pages of the template texts of each host that has any; node -1
+    has as its pages the characters of all its articles."""
     rows, sent = _met(pages, wrappers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper | None] = {}
-        counts: Counter[tuple[str, int, int, int]] = Counter()
+        counts: Counter[tuple[str, int, int, int, int]] = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in counts], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64()))), pa.array(list(counts.values()), pa.int64())], ["host", "pages", "node", "hash", "n"])
+            return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in counts], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))), pa.array(list(counts.values()), pa.int64())], ["host", "pages", "node", "hash", "chars", "n"])
 
         for batch in batches:
             for html, host, raw in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
                 w = _opened(known, host, raw, sent)
                 if w is not None and w.pages >= LEAST_PAGES and html.is_valid and (text := html.as_py()):
-                    counts.update((host, w.pages, *x) for x in w.filled(Page(text)))
+                    texts, size = w.filled(Page(text))
+                    counts.update((host, w.pages, *x) for x in texts)
+                    counts[host, w.pages, -1, 0, 0] += size
                 if len(counts) >= TALLY:
                     yield out()
                     counts.clear()
         if counts:
             yield out()
 
-    counts = rows.select("html", "host", "wrapper").mapInArrow(run, "host string, pages long, node int, hash long, n long")
-    found = counts.groupBy("host", "pages", "node", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), CONSTANT * F.col("pages")))
-    return found.groupBy("host").agg(F.collect_list(F.struct("node", "hash", "n")).alias("found"))
+    counts = rows.select("html", "host", "wrapper").mapInArrow(run, "host string, pages long, node int, hash long, chars long, n long")
+    sums = counts.groupBy("host", "pages", "node", "hash").agg(F.max("chars").alias("chars"), F.sum("n").alias("n"))
+    found = sums.where((F.col("node") < 0) | (F.col("n") >= F.greatest(F.lit(LEAST_PAGES), CONSTANT * F.col("pages"))))
+    return found.groupBy("host").agg(F.collect_list(F.struct("node", "hash", "chars", "n")).alias("found"))
 
 
 def induce(pages: DataFrame) -> DataFrame:
@@ -554,8 +569,14 @@ def induce(pages: DataFrame) -> DataFrame:
             out = []
             for blob, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 w = pickle.loads(blob)
+                fixed = every = 0
                 for x in found or []:
-                    w.texts[x["node"]][x["hash"]] = x["n"]
+                    if x["node"] < 0:
+                        every = x["n"]
+                    else:
+                        w.texts[x["node"]][x["hash"]] = x["n"]
+                        fixed += x["n"] * x["chars"]
+                w.copies = 2 * fixed > every
                 out.append(pickle.dumps(w, 5))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["host", "part", "wrapper"])
 

@@ -86,4 +86,6 @@ def test_cases(spark):
     parts = chat.format_conversations(rows.where("conv_id = 4")).orderBy("part").collect()
     assert "".join(p["formatted"] for p in parts) == chat.marked(TURNS) and len(parts) == 3
     assert [p["formatted"][a["start"] : a["end"]] for p in parts for a in p["loss_spans"]] == [t for r, t in TURNS if r == "assistant"]
+    named = rows.where("conv_id = 2").withColumn("conv_id", F.lit("two"))
+    assert tuple(chat.digests(named).first())[1:] == tuple(got[2])[1:] and chat.format_conversations(named).first()["conv_id"] == "two"
     assert chat.digests(rows.limit(0)).count() == 0 == chat.format_conversations(rows.where(F.lit(False))).count()

@@ -120,3 +120,21 @@ def test_notices_go_from_pages_of_many_paragraphs(spark, monkeypatch, send):
     rows = spark.createDataFrame([(i, "http://long.example.com/", page(i)) for i in ps], "page_id long, url string, html string").repartition(5)
     got = {r["page_id"]: r["text"].split("\n") for r in wrapper.extract_pages(rows).collect()}
     assert got == {i: ps[i] + ["This notice is on fewer"] * (i < 11) for i in ps}
+
+
+def test_short_sections_stay_and_teasers_go():
+    body = "<article class='post'><h1>T</h1><p>" + "long text " * 80 + "</p></article>"
+    html = f"<body>{body}<article class='update'><p>A short update.</p></article><article class='teaser'><a href='/x'>Read another page of ours</a></article></body>"
+    assert wrapper.extract(html, None) == "T\n" + ("long text " * 80).strip() + "\nA short update."
+
+
+def test_notices_go_from_short_pages_and_near_copies_stay(spark):
+    rng = random.Random(5)
+    notice = "<p>" + "This site has terms of use that everybody should read. " * 3 + "</p>"
+    rows = [(i, "http://short.example.com/", f"<article><p>{sentence(rng, 120)}</p>{notice}</article>") for i in range(12)]
+    rows += [(20, "http://short.example.com/", f"<article><p>Brief news.</p>{notice}</article>")]
+    text = "".join(f"<p>{sentence(rng)}</p>" for _ in range(6))
+    rows += [(30 + i, "http://near.example.com/", f"<article><h1>Edition {i}</h1>{text}</article>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[20] == "Brief news." and all("terms of use" not in got[i] and got[i] for i in range(12))
+    assert all(got[30 + i] == article_text(rows[13 + i][2]) for i in range(9))
