@@ -66,21 +66,22 @@ def _class(characters: Iterable[str]) -> str:
     return "".join(rf"\x{{{lo:x}}}" if lo == hi else rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in runs)
 
 
-_NOT_ASCII = r"[^\x{0}-\x{7f}]"
+def _beyond_ascii(c: Column) -> Column:
+    return F.octet_length(c) > F.length(c)
 
 
 def _decomposed_short(c: Column) -> Column:
     marked, single, _ = fold_tables()
     spaced = F.regexp_replace(c, f"([{_class(marked)}])", "$1 ")
     plain = F.translate(spaced, "".join(marked) + "".join(single), "".join(marked.values()) + "".join(single.values()))
-    return F.when(c.rlike(_NOT_ASCII), plain).otherwise(c)
+    return F.when(_beyond_ascii(c), plain).otherwise(c)
 
 
 def _decomposed_long(c: Column) -> Column:
     several = fold_tables()[2]
     table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # folded to a constant
     long = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.when(c.rlike(_NOT_ASCII) & c.rlike(f"[{_class(several)}]"), long).otherwise(c)
+    return F.when(_beyond_ascii(c) & c.rlike(f"[{_class(several)}]"), long).otherwise(c)
 
 
 def _decomposed(c: str) -> str:
@@ -162,7 +163,8 @@ class DefaultNormaliser(Normaliser):
     def steps(self) -> list[Callable[[Column], Column]]:
         def clean(c: Column) -> Column:
             bare = F.regexp_replace(c, r"\p{P}+", "")
-            return F.lower(F.trim(F.regexp_replace(bare, r"[\r\n\t\p{Mn} ]+", " ")))
+            full = F.lower(F.trim(F.regexp_replace(bare, r"[\r\n\t\p{Mn} ]+", " ")))
+            return F.when(c.rlike("[^A-Za-z0-9]"), full).otherwise(F.lower(c))  # most tokens are plain
 
         return [*([_nfkd] if self.full else [_decomposed_short, _decomposed_long]), clean]
 
