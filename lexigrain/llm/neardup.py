@@ -46,6 +46,9 @@ LANES = BANDS * ROWS
 STEP, TOLERANCE = 32, 1e-6
 #: Values of a signature that buckets compare; components compare all.
 BUCKET_LANES = 128
+#: Bytes of keys that may be sent to all tasks, and of one key there: up to that, texts are met where they lie and
+#: aren't shuffled; beyond it, they are shuffled by key.
+SEND, KEY_BYTES = 32 << 20, 128
 #: Members of a bucket or component that one task compares with as many others.
 BLOCK = 2048
 GRAM_BYTES = 6
@@ -320,6 +323,11 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return now.select("class_id", "comp")
 
 
+def _sent(keys: DataFrame, n: int) -> DataFrame:
+    """Keys for a join with texts: broadcast if n of them are small enough."""
+    return F.broadcast(keys) if n * KEY_BYTES <= SEND else keys
+
+
 def _first(*more: str) -> Column:
     """The least of a group: known doc_ids before null, small ones before large."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "class_id", *more))
@@ -341,7 +349,7 @@ def _documents(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Da
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     wanted = comps.join(sizes, "comp").join(classes.select("class_id", F.col("doc_id").alias("own"), F.col("digest").alias("known")), "class_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest(F.col("text")).alias("digest"))
-    members = wanted.join(texts, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("known") == F.col("digest")))
+    members = texts.join(_sent(wanted, comps.count()), F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("known") == F.col("digest")))
     members = _with_sets(members, n).dropDuplicates(["class_id"])
     verified = common.materialise(_verified(_in_blocks(members, "comp", F.col("size")), threshold), "verified")
     linked = components(verified.select(F.col("class_id").alias("a"), F.col("to").alias("b")), "linked")
@@ -385,7 +393,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     mark = f"_digest_{uuid4().hex}"
     rows = docs.withColumn(mark, _digest(F.col("text")))
     same = F.col("_doc").eqNullSafe(rows["doc_id"].cast("long")) & (F.col("_digest") == rows[mark])
-    out = rows.join(judged, same, "left_anti").drop(mark)
+    out = rows.join(_sent(judged, judged.count()), same, "left_anti").drop(mark)
     again = judged.where("_stays")
     if again.limit(1).count():  # equal rows of a document that stays: one of them
         out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark))

@@ -83,8 +83,10 @@ def test_repeated_rows_count_once(spark):
     assert result(neardup.links(docs)) == {1: (1, 1, 0, 2), 2: (1, 1, 0, 2)}
 
 
-def test_one_row_of_each_group_stays(spark):
+@pytest.mark.parametrize("send", [neardup.SEND, 0])
+def test_one_row_of_each_group_stays(spark, monkeypatch, send):
     """Repeated rows, ids with two texts and null ids; extra columns, one of them named like an inner one."""
+    monkeypatch.setattr(neardup, "SEND", send)
     rows = [
         (1, "a b c d", "p"), (1, "a b c d", "p"), (2, "a b c d", "q"),  # copies
         (3, "k l m n", "r"), (3, "clean words of no other text", "s"), (4, "k l m n", "t"),  # two texts of one id
