@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Distinct words that a worker keeps; beyond it, the dictionary starts anew.
-KEEP = 400_000
+KEEP = 200_000
 
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT = regex.compile(f"[{_WHITE}]+")
