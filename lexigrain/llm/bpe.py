@@ -5,8 +5,10 @@ queue holds one entry per adjacent pair that has a rank; an entry whose symbols
 since it was pushed is stale and skipped. decode joins the vocabulary strings of the ids.
 
 Splitting at white space first is exact: no match of the pre-tokeniser, no special token and no
-canonical composition spans white space. Each distinct word is therefore encoded once per
-worker and kept in a bounded dictionary.
+canonical composition spans white space. Distinct words are therefore encoded once and kept in a
+bounded dictionary of the worker. Those of some texts that it lacks are encoded together: one
+search of the pre-tokeniser over all of them, and merges of all their short pieces at a time, each
+by the lowest rank and of equal ones the leftmost, as the queue does for one piece.
 
 Cases: null text counts as empty; empty or blank text gives 0 ids and the hash of the empty
 string; special tokens within a text become their ids, as in the library; repeated rows give
@@ -18,23 +20,32 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from unicodedata import normalize
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from . import common
 
-#: Distinct words that a worker keeps; beyond it, the dictionary starts anew.
+#: Distinct words, and pieces, that a worker keeps; beyond it, the dictionary starts anew.
 KEEP = 200_000
+#: Characters of the texts whose words are encoded together; a longer text is taken alone.
+CHUNK = 2_000_000
+#: Bytes of the pieces that are merged together, the longest first of each width; longer pieces have a queue of their own.
+WIDTHS = (4, 8, 12, 16, 24, 32)
+#: Pieces that are merged together at most.
+TOGETHER = 50_000
 
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT = regex.compile(f"[{_WHITE}]+")
-_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
+_PIECE = regex.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
+#: _PIECE for lower-case ASCII.
+_PLAIN = re.compile(r"[a-z]+|\n|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
 #: str.split also breaks at these, the vocabulary's pre-tokeniser doesn't.
 _ODD = regex.compile("[\x1c-\x1f]")
 
@@ -58,7 +69,7 @@ def _spans(text: str) -> Iterator[tuple[int, int, int]]:
 _NEW_CLASS = "".join(rf"\U{a:08x}-\U{z:08x}" for a, z, _ in _spans(_NEW))
 _ANY_NEW = regex.compile(f"[{_NEW_CLASS}]")
 #: _PIECE with these as symbols.
-_OLDER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_NEW_CLASS}]]+|[\p{{N}}--[{_NEW_CLASS}]]|[[^{_WHITE}\p{{L}}\p{{N}}][{_NEW_CLASS}]]+")
+_OLDER = regex.compile(rf"(?V1)\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_NEW_CLASS}]]+|[\p{{N}}--[{_NEW_CLASS}]]|[[^{_WHITE}\p{{L}}\p{{N}}][{_NEW_CLASS}]]+")
 _LOWER = {c: c + d for a, z, d in _spans(_LOWERS) for c in range(a, z + 1)}
 _ANY_LOWER = regex.compile("[" + "".join(rf"\U{a:08x}-\U{z:08x}" for a, z, _ in _spans(_LOWERS)) + "]")
 
@@ -94,8 +105,79 @@ class Bpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault(self.ids[a] << 20 | self.ids[b], (rank, self.ids[a + b]))
+        self._tables()
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
 
+    def _tables(self) -> None:
+        """Merges as arrays: sorted pairs with ranks, new symbols by rank, and ranks by pairs of bytes (final ones from 256 on, 512: none)."""
+        pairs = sorted(self.merges)
+        self._pairs = np.array(pairs, np.int64)
+        self._ranks = np.array([self.merges[p][0] for p in pairs], np.int32)
+        self._none = np.int32(np.iinfo(np.int32).max)
+        self._new = np.zeros(int(self._ranks.max(initial=-1)) + 1, np.int32)
+        self._new[self._ranks] = [self.merges[p][1] for p in pairs]
+        symbols = [-1 if i is None else i for i in (*self.inner, *self.final, None)]
+        self._symbols = np.array(symbols, np.int32)
+        place = {s: k for k, s in enumerate(symbols) if s >= 0}
+        self._bytes = np.full((513, 513), self._none, np.int32)
+        for p, (rank, _) in self.merges.items():
+            if (a := place.get(p >> 20)) is not None and (b := place.get(p & 0xFFFFF)) is not None:
+                self._bytes[a, b] = rank
+        self._text = [str(i) for i in range(max(self.names) + 1)] + ["\n"]
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; -1 is no symbol."""
+        pair = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == pair, self._ranks[at], self._none)
+
+    def _merge(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[str]:
+        """Ids, joined by a space, of pieces that are the given spans of bytes. Each round merges one pair of every piece that has any."""
+        n, width = len(size), int(size.max())
+        columns = np.arange(width + 1)
+        found = np.where(columns < size[:, None], data[np.minimum(begin[:, None] + columns, len(data) - 1)].astype(np.int32), 512)
+        found[np.arange(n), size - 1] += 256
+        rank, symbol = self._bytes[found[:, :-1], found[:, 1:]], self._symbols[found]
+        out, rows, every = np.full((n, width + 1), -1, np.int32), np.arange(n), np.arange(n)
+        while True:
+            at = rank.argmin(axis=1)
+            best = rank[every, at]
+            live = best != self._none
+            if not live.all():
+                out[rows[~live], : symbol.shape[1]] = symbol[~live]
+                rank, symbol, rows, at, best = rank[live], symbol[live], rows[live], at[live], best[live]
+                every = np.arange(len(rows))
+            if not len(rows):
+                break
+            new = self._new[best]
+            # pieces get one symbol shorter; the last column stays without one
+            take = columns[: symbol.shape[1] - 1] + (columns[: symbol.shape[1] - 1] > at[:, None])
+            symbol, rank = np.take_along_axis(symbol, take, 1), np.take_along_axis(rank, take[:, :-1], 1)
+            symbol[every, at] = new
+            rank[every, at] = self._rank(new, symbol[every, at + 1])
+            inner = np.flatnonzero(at)
+            rank[inner, at[inner] - 1] = self._rank(symbol[inner, at[inner] - 1], new[inner])
+        out[np.arange(n), (out >= 0).sum(axis=1)] = len(self._text) - 1
+        return " ".join(map(self._text.__getitem__, out[out >= 0].tolist()))[:-2].split(" \n ")
+
+    def pieces(self, texts: list[str]) -> list[str]:
+        """Ids, joined by a space, of each of many pieces."""
+        out: list[str] = [""] * len(texts)
+        for low in range(0, len(texts), TOGETHER):
+            raw = [x.encode("utf-8") for x in texts[low : low + TOGETHER]]
+            size = np.fromiter(map(len, raw), np.int64, len(raw))
+            begin, data = np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint8)
+            least = 0
+            for most in WIDTHS:
+                at = np.flatnonzero((size > least) & (size <= most))
+                if len(at):
+                    for i, ids in zip(at.tolist(), self._merge(data, begin[at], size[at]), strict=True):
+                        out[low + i] = ids
+                least = most
+            for i in np.flatnonzero(size > least).tolist():
+                out[low + i] = " ".join(map(str, self.piece(texts[low + i])))
+        return out
+
     @lru_cache(maxsize=KEEP)  # noqa: B019 - one encoder a worker
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one piece of the pre-tokeniser."""
@@ -133,6 +215,20 @@ class Bpe:
             i = after[i]
         return tuple(out)
 
+    def has_special(self, text: str) -> bool:
+        return "<" in text and self._special is not None and self._special.search(text) is not None
+
+    @staticmethod
+    def _lower(text: str) -> tuple[str, regex.Pattern]:
+        """The normalised text, and the pattern of its pieces."""
+        if text.isascii():
+            return text.lower(), _PLAIN
+        text = normalize("NFC", text).replace("Σ", "σ")  # lower() alone would see word ends
+        if _ANY_LOWER.search(text):
+            text = text.translate(_LOWER)
+        text = text.lower()
+        return text, _OLDER if _ANY_NEW.search(text) else _PIECE
+
     def word(self, text: str) -> list[int]:
         """Ids of a run of characters without white space."""
         out: list[int] = []
@@ -140,12 +236,8 @@ class Bpe:
             if part in self.specials:
                 out.append(self.specials[part])
             elif part:
-                if not part.isascii():
-                    part = normalize("NFC", part).replace("Σ", "σ")  # lower() alone would see word ends
-                    if _ANY_LOWER.search(part):
-                        part = part.translate(_LOWER)
-                part = part.lower()
-                for p in (_PIECE if part.isascii() or not _ANY_NEW.search(part) else _OLDER).findall(part):
+                part, pattern = self._lower(part)
+                for p in pattern.findall(part):
                     out += self.piece(p)
         return out
 
@@ -162,43 +254,75 @@ class Bpe:
 
 
 class _Known(dict):
-    """Word to its ids and to its decoded string, both joined by a space."""
+    """Word to its ids, joined by a space."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.decoded = bpe, {}
+        self.bpe, self.pieces = bpe, {"\n": "\n"}
 
     def __missing__(self, word: str) -> str:
-        ids = self.bpe.word(word)
         if len(self) >= KEEP:
             self.clear()
-        self[word] = out = " ".join(map(str, ids))
+        self[word] = out = " ".join(map(str, self.bpe.word(word)))
         return out
 
-
-class _Decoded(dict):
-    """From a word's ids, as text, to their vocabulary strings."""
-
-    def __init__(self, bpe: Bpe):
-        self.bpe = bpe
-
-    def __missing__(self, ids: str) -> str:
-        if len(self) >= KEEP:
+    def learn(self, words: set[str]) -> None:
+        """Encodes those of the words that are not known, all at once, and keeps all of them until the next call."""
+        todo = words.difference(self)
+        if len(self) + len(todo) > KEEP:
+            kept = {w: self[w] for w in words - todo}
             self.clear()
-        self[ids] = out = self.bpe.decode(list(map(int, ids.split())))
-        return out
+            self.update(kept)
+        plain, other = [], []
+        for word in todo:
+            if self.bpe.has_special(word):
+                self[word] = " ".join(map(str, self.bpe.word(word)))
+            else:
+                (plain if word.isascii() else other).append(word)
+        for group in filter(None, (plain, other)):
+            text, pattern = self.bpe._lower("\n".join(group))
+            found = pattern.findall(text)
+            new = list(set(found).difference(self.pieces))
+            if len(self.pieces) + len(new) > KEEP:
+                new = list(set(found) - {"\n"})
+                self.pieces = {"\n": "\n"}
+            self.pieces.update(zip(new, self.bpe.pieces(new), strict=True))
+            self.update(zip(group, " ".join(map(self.pieces.__getitem__, found)).split(" \n "), strict=True))
 
 
 @lru_cache(maxsize=1)
-def _worker(path: str) -> tuple[_Known, _Decoded]:
+def _worker(path: str) -> tuple[_Known, dict[str, str]]:
+    """The words that the worker knows, and the vocabulary strings of ids, these as text."""
     bpe = Bpe(path)
-    return _Known(bpe), _Decoded(bpe)
+    return _Known(bpe), {str(i): s for i, s in bpe.names.items()}
+
+
+def _digest(words: list[str], known: _Known, decoded: dict[str, str]) -> tuple[int, str, str]:
+    ids = " ".join(map(known.__getitem__, words))
+    each = ids.split()
+    return len(each), sha256(ids.encode()).hexdigest(), sha256(" ".join(map(decoded.__getitem__, each)).encode("utf-8")).hexdigest()
 
 
-def digest(text: str, known: _Known, decoded: _Decoded) -> tuple[int, str, str]:
+def digest(text: str, known: _Known, decoded: dict[str, str]) -> tuple[int, str, str]:
     """Number of ids, hash of the ids, hash of what they decode to."""
-    parts = list(filter(None, map(known.__getitem__, Bpe.split(text))))
-    ids = " ".join(parts)
-    return ids.count(" ") + bool(ids), sha256(ids.encode()).hexdigest(), sha256(" ".join(map(decoded.__getitem__, parts)).encode("utf-8")).hexdigest()
+    return _digest(Bpe.split(text), known, decoded)
+
+
+def digest_all(texts: Iterable[str], known: _Known, decoded: dict[str, str]) -> Iterator[tuple[int, str, str]]:
+    """digest() of each text; words are encoded for a chunk of texts at a time."""
+
+    def flush() -> Iterator[tuple[int, str, str]]:
+        known.learn(set().union(*chunk))
+        for words in chunk:
+            yield _digest(words, known, decoded)
+
+    chunk, size = [], 0
+    for text in texts:
+        if chunk and size + len(text) > CHUNK:
+            yield from flush()
+            chunk, size = [], 0
+        chunk.append(Bpe.split(text))
+        size += len(text)
+    yield from flush()
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -209,8 +333,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         known, decoded = _worker(path)
         for batch in batches:
             n, ids, text = [], [], []
-            for value in batch.column(1):
-                a, b, c = digest(value.as_py() or "", known, decoded)
+            for a, b, c in digest_all((value.as_py() or "" for value in batch.column(1)), known, decoded):
                 n.append(a)
                 ids.append(b)
                 text.append(c)
