@@ -1,7 +1,7 @@
 """The weighted inverted index: a DataFrame of (token, key, weight, locations), its making and its algebra.
 
 Entries are grouped by token and key, so a frequent token is as many small groups as documents
-hold it; sums are combined before the shuffle. Saved indexes are sorted by token, and a
+hold it; texts are shuffled by key before they are cut into tokens. Saved indexes are sorted by token, and a
 look-up is a pushed-down equality.
 """
 
@@ -115,7 +115,10 @@ def _grouped(rows: DataFrame, how: Combiner) -> DataFrame:
 
 def occurrences(table: DataFrame, key: str | Column, fields: Sequence[fields_.Field], normaliser: Normaliser, breaker: Breaker, positions: bool = True) -> DataFrame:
     """token, key, field_idx, token_idx, src_idx, src_len, contrib of every token that is valid."""
-    texts = fields_.sections(table, key, fields).withColumn("_row", F.struct("_source", "field_idx"))
+    return _occurrences(fields_.sections(table, key, fields), fields, normaliser, breaker, positions)
+
+
+def _occurrences(texts: DataFrame, fields: Sequence[fields_.Field], normaliser: Normaliser, breaker: Breaker, positions: bool) -> DataFrame:
     tokens = breaker.break_text(texts, positions)
     # Catalyst would push the filter below the normaliser's projections, each of which repeats the one before; a projection that isn't deterministic stops it
     formed = normaliser.add(tokens, "token", "token").withColumn("_here", F.monotonically_increasing_id()).where("token <> '' AND _here >= 0")
@@ -128,10 +131,11 @@ def occurrences(table: DataFrame, key: str | Column, fields: Sequence[fields_.Fi
 
 
 def build_index(table: DataFrame, key: str | Column, fields: Sequence[fields_.Field], normaliser: Normaliser | None = None, breaker: Breaker | None = None, combiner: Combiner = "sum", capture_locations: bool = True, logger: Logger = Null()) -> Index:  # noqa: B008
-    """Indexes the fields of a table. Rows of equal key become one document."""
+    """Indexes the fields of a table. Rows of equal key become one document. Texts are shuffled by key; their tokens are then grouped where they are."""
     normaliser, breaker = normaliser or PluralNormaliser(), breaker or default_breaker()
     logger.debug(f"indexing {len(fields)} fields")
-    found = occurrences(table, key, fields, normaliser, breaker, capture_locations)
+    texts = fields_.sections(table, key, fields).repartition("key")
+    found = _occurrences(texts, fields, normaliser, breaker, capture_locations)
     place = F.struct("field_idx", "token_idx", "src_idx", "src_len", "contrib")
     locations = F.sort_array(F.collect_list(place)) if capture_locations else F.lit(None).cast(LOCATIONS)
     entries = found.groupBy("token", "key").agg(positive(combined(F.col("contrib"), combiner)).alias("weight"), *([locations.alias("locations")] if capture_locations else []))

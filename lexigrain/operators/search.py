@@ -18,7 +18,7 @@ from .tokenise import Breaker
 def query_terms(spark: SparkSession, query: str, breaker: Breaker, index: Index) -> list[tuple[str, float, str]]:
     """(form, multiplier, token) of each token of a query, in order."""
     texts = spark.createDataFrame([(0, query)], "_row int, text string").coalesce(1)
-    rows = index.normaliser.add(breaker.break_text(texts, positions=False), "token", "form").select("token_idx", "src_idx", "src_len", "token", "multiplier", "form").collect()
+    rows = index.normaliser.add(breaker.break_text(texts), "token", "form").select("token_idx", "src_idx", "src_len", "token", "multiplier", "form").collect()
     rows.sort(key=lambda r: (r["src_len"] if len({x["token_idx"] for x in rows}) < len(rows) else 0, r["token_idx"], r["token"]))
     return [(r["form"], r["multiplier"], r["token"]) for r in rows]
 

@@ -1,9 +1,8 @@
 """Tokenisers as DataFrame transformations.
 
-A breaker takes texts (`_row` that identifies the text, `text`, `multiplier`, `src_idx`, `order`) and returns
-a row per token with token, multiplier, token_idx, src_idx and src_len beside the columns it was
-given. Positions come from running sums within a text: texts are shuffled once, by `_row`, and the
-windows then work within partitions. Catalyst drops the windows where positions aren't used.
+A breaker takes texts (a column `text`) and returns a row per token with token, multiplier, token_idx,
+src_idx and src_len beside the columns it was given. The tokens of a text are an array made from that text
+alone: nothing is shuffled or sorted, and a task holds one text's tokens at a time.
 """
 
 from __future__ import annotations
@@ -11,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.functions.normalise import SPACE
+from lexigrain.functions.normalise import SPACE, inside, let
 
 #: The 21 characters that break tokens besides white space; ' and - do not.
 DEFAULT_BREAKS = "<>[](){}.,:;\"?!/\\@+|="
@@ -29,25 +28,33 @@ def escaped(characters: str) -> str:
 class Breaker:
     """Base of tokenisers."""
 
-    def apply(self, texts: DataFrame) -> DataFrame:
+    def tokens(self, text: Column, positions: bool = True) -> Column:
+        """The array of (token, multiplier, token_idx, src_idx, src_len) of a text, in order. Without positions src_idx is null, and src_len of a run of several tokens."""
         raise NotImplementedError
 
     def break_text(self, texts: DataFrame, positions: bool = True) -> DataFrame:
-        """Tokens of each row's `text`; needs a column _row that tells texts apart. Without a use for positions, texts needn't be shuffled."""
-        if positions:
-            texts = texts.repartition("_row")
-        ready = texts.withColumns({"multiplier": F.lit(1.0), "src_idx": F.lit(0), "order": F.array().cast("array<int>")})
-        return self.apply(ready)
+        """Tokens of each row's `text`. Without a use for positions, src_idx is left null, which costs less."""
+        keep = [c for c in texts.columns if c != "text"]
+        return texts.select(*keep, F.explode(self.tokens(F.col("text"), positions)).alias("_token")).select(*keep, "_token.*")
 
 
-def split(texts: DataFrame, inside_class: str) -> DataFrame:
-    """Splits each text at the characters of the class; pieces carry their own start and order."""
-    keep = [c for c in texts.columns if c not in ("text", "src_idx", "order")]
-    pieces = texts.select(*keep, "src_idx", "order", F.posexplode(F.split("text", f"[{inside_class}]", -1)).alias("_pos", "_piece"))
-    before = Window.partitionBy("_row", "order").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("src_idx") + F.coalesce(F.sum(F.length("_piece") + 1).over(before), F.lit(0)).cast("int")
-    placed = pieces.withColumn("src_idx", start).where("_piece <> ''")
-    return placed.select(*keep, F.col("_piece").alias("text"), "src_idx", F.concat("order", F.array(F.col("_pos"))).alias("order"))
+def split(text: Column, inside_class: str, positions: bool) -> Column:
+    """The array of (piece, start) between the characters of a regular expression's class; a piece starts behind the character that ends the one before."""
+    pieces = F.split(text, f"[{inside_class}]", -1)
+    if not positions:
+        return F.transform(pieces, lambda p: F.struct(p.alias("piece"), F.lit(None).cast("int").alias("start")))
+    characters = inside(inside_class)
+    ends = F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(c.isin(*characters), i + 1)))
+    return F.zip_with(pieces, F.concat(F.array(F.lit(0)), ends), lambda p, s: F.struct(p.alias("piece"), s.alias("start")))
+
+
+def _token(token: Column, multiplier: Column, token_idx: Column, src_idx: Column, src_len: Column) -> Column:
+    return F.struct(token.alias("token"), multiplier.alias("multiplier"), token_idx.cast("int").alias("token_idx"), src_idx.cast("int").alias("src_idx"), src_len.cast("int").alias("src_len"))
+
+
+def _numbered(pieces: Column, multiplier: Callable[[Column], Column]) -> Column:
+    found = F.filter(pieces, lambda p: p["piece"] != "")
+    return F.transform(found, lambda p, i: _token(p["piece"], multiplier(p), i, p["start"], F.length(p["piece"])))
 
 
 @dataclass(frozen=True)
@@ -56,8 +63,8 @@ class SplitBreaker(Breaker):
 
     characters: str
 
-    def apply(self, texts: DataFrame) -> DataFrame:
-        return _numbered(split(texts, escaped(self.characters)))
+    def tokens(self, text: Column, positions: bool = True) -> Column:
+        return _numbered(split(text, escaped(self.characters), positions), lambda p: F.lit(1.0))
 
 
 @dataclass(frozen=True)
@@ -68,16 +75,15 @@ class WhitespaceBreaker(Breaker):
     extra: str = ""
     wrapped: Breaker | None = None
 
-    def apply(self, texts: DataFrame) -> DataFrame:
-        inner = texts
-        if self.wrapped is not None:
-            inner = self.wrapped.apply(texts).withColumnRenamed("token", "text").withColumn("order", F.array("token_idx")).drop("token_idx", "src_len")
-        return _numbered(split(inner, SPACE + escaped(self.extra)))
+    def tokens(self, text: Column, positions: bool = True) -> Column:
+        at = SPACE + escaped(self.extra)
+        if self.wrapped is None:
+            return _numbered(split(text, at, positions), lambda p: F.lit(1.0))
 
+        def again(t: Column) -> Column:
+            return F.transform(split(t["token"], at, positions), lambda p: F.struct(p["piece"].alias("piece"), (t["src_idx"] + p["start"]).alias("start"), t["multiplier"].alias("multiplier")))
 
-def _numbered(pieces: DataFrame) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy("_row").orderBy("order")) - 1
-    return pieces.withColumn("token_idx", number).withColumn("src_len", F.length("text")).withColumnRenamed("text", "token").drop("order")
+        return _numbered(F.flatten(F.transform(self.wrapped.tokens(text, positions), again)), lambda p: p["multiplier"])
 
 
 @dataclass(frozen=True)
@@ -87,8 +93,8 @@ class ExtendingBreaker(Breaker):
     characters: str
     inner: Breaker = WhitespaceBreaker()
 
-    def apply(self, texts: DataFrame) -> DataFrame:
-        return self.inner.apply(texts.withColumn("text", F.translate("text", self.characters, " " * len(self.characters))))
+    def tokens(self, text: Column, positions: bool = True) -> Column:
+        return self.inner.tokens(F.translate(text, self.characters, " " * len(self.characters)), positions)
 
 
 def default_breaker() -> Breaker:
@@ -111,17 +117,18 @@ class NgramBreaker(Breaker):
         if self.longest < 1:
             raise ValueError("longest must be at least 1")
 
-    def apply(self, texts: DataFrame) -> DataFrame:
-        tokens = self.inner.apply(texts)
-        order = Window.partitionBy("_row").orderBy("token_idx")
-        ahead = [F.struct("token", "multiplier", F.expr("src_idx + src_len").alias("stop"))]
-        ahead += [F.lead(ahead[0], k).over(order) for k in range(1, self.longest)]
-        rows = tokens.withColumn("_ahead", F.filter(F.array(*ahead), lambda x: x.isNotNull())).withColumn("_n", F.explode(F.sequence(F.lit(1), F.size("_ahead"))))
-        run = F.slice("_ahead", F.lit(1), F.col("_n"))
-        weight = self.weight(F.transform("_run", lambda x: x["multiplier"]))
-        checked = F.when((weight > 0) & (weight <= 1), weight).otherwise(F.raise_error(F.lit("a run's multiplier must lie in (0, 1]")).cast("double"))
-        rows = rows.withColumn("_run", run).withColumn("multiplier", checked)
-        return rows.withColumns({"token": F.array_join(F.transform("_run", lambda x: x["token"]), " "), "src_len": F.element_at("_run", -1)["stop"] - F.col("src_idx")}).drop("_ahead", "_run", "_n")
+    def tokens(self, text: Column, positions: bool = True) -> Column:
+        def joined(run: Column) -> Column:
+            first, end = run[0], F.element_at(run, -1)
+            weight = self.weight(F.transform(run, lambda x: x["multiplier"]))
+            checked = F.when((weight > 0) & (weight <= 1), weight).otherwise(F.raise_error(F.lit("a run's multiplier must lie in (0, 1]")).cast("double"))
+            return _token(F.array_join(F.transform(run, lambda x: x["token"]), " "), checked, first["token_idx"], first["src_idx"], end["src_idx"] + end["src_len"] - first["src_idx"])
+
+        def runs(found: Column) -> Column:
+            of = lambda x, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(self.longest), F.size(found) - i)), lambda n: let(F.slice(found, i + 1, n), joined))
+            return F.flatten(F.transform(found, of))
+
+        return let(self.inner.tokens(text, positions), runs)
 
 
 @dataclass(frozen=True)
@@ -145,18 +152,23 @@ class FragmentBreaker(Breaker):
         if not 1 <= self.shortest <= self.longest:
             raise ValueError("1 <= shortest <= longest")
 
-    def apply(self, texts: DataFrame) -> DataFrame:
-        tokens = self.inner.apply(texts)
-        parts = F.filter(F.split("token", f"[{SPACE}{escaped(self.pre)}]", -1), lambda x: x != "") if self.pre is not None else F.array("token")
-
+    def tokens(self, text: Column, positions: bool = True) -> Column:
         def cuts(part: Column) -> Column:
             starts = F.lit(1) if self.from_start else F.greatest(F.length(part) - self.shortest + 1, F.lit(1))
             of = lambda s: F.transform(F.sequence(F.lit(self.shortest), F.least(F.lit(self.longest), F.length(part) - s + 1)), lambda n: F.substring(part, s, n))
             return F.when(F.length(part) < self.shortest, F.array().cast("array<string>")).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), starts), of)))
 
-        fragments = F.filter(F.flatten(F.transform(parts, cuts)), lambda x: x != F.col("token"))
-        rows = tokens.withColumn("_fragment", F.explode(F.concat(F.array(F.lit(None).cast("string")), fragments)))
-        weight = self.weight(F.col("token"), F.col("_fragment"))
-        checked = F.when(F.col("_fragment").isNull(), F.lit(1.0)).when(weight < 0, F.raise_error(F.lit("a fragment's multiplier must not be negative")).cast("double")).otherwise(F.col("multiplier") * weight)
-        rows = rows.withColumn("_weight", checked).where("_weight > 0")
-        return rows.withColumns({"multiplier": F.col("multiplier") * F.col("_weight"), "token": F.coalesce("_fragment", "token")}).drop("_fragment", "_weight")
+        def fragments(t: Column) -> Column:
+            token = t["token"]
+            parts = F.filter(F.split(token, f"[{SPACE}{escaped(self.pre)}]", -1), lambda x: x != "") if self.pre is not None else F.array(token)
+            cut = F.filter(F.flatten(F.transform(parts, cuts)), lambda x: x != token)
+
+            def weighed(fragment: Column) -> Column:
+                weight = self.weight(token, fragment)
+                checked = F.when(weight < 0, F.raise_error(F.lit("a fragment's multiplier must not be negative")).cast("double")).otherwise(t["multiplier"] * weight)
+                return F.struct(fragment.alias("token"), checked.cast("double").alias("weight"))
+
+            kept = F.filter(F.transform(cut, weighed), lambda x: x["weight"] > 0)
+            return F.concat(F.array(t), F.transform(kept, lambda x: _token(x["token"], t["multiplier"] * x["weight"], t["token_idx"], t["src_idx"], t["src_len"])))
+
+        return F.flatten(F.transform(self.inner.tokens(text, positions), fragments))

@@ -1,7 +1,7 @@
 """Saved indexes: Parquet sorted by token, or JSON lines, each with a sidecar that names the normaliser.
 
-Parquet row groups of a token-sorted file have narrow ranges of tokens, so that a look-up skips
-nearly all of them; dictionary encoding keeps repeated keys short.
+An index is written in the partitions it comes in, without a shuffle. Pages of a token-sorted file have
+narrow ranges of tokens, so that a look-up skips nearly all of them.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def write_parquet(index: Index, path: str, mode: str = "errorifexists") -> None:
     rows = index.entries.select("token", "key", "weight", "locations")
-    rows.repartitionByRange("token", "key").sortWithinPartitions("token", "key").write.mode(mode).option("compression", "zstd").parquet(f"{path}/entries")
+    rows.sortWithinPartitions("token", "key").write.mode(mode).option("compression", "zstd").parquet(f"{path}/entries")
     _write_text(rows.sparkSession, f"{path}/index.json", _sidecar(index, "parquet"))
 
 
