@@ -12,13 +12,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lexigrain.functions.normalise import from_spec
 from lexigrain.operators.index import LOCATIONS, Index
 
 FORMAT = 1
 
+#: The fields of a location.
+PLACE = ("field_idx", "token_idx", "src_idx", "src_len", "contrib")
+
+#: The fields of a location.
+PLACE = ("field_idx", "token_idx", "src_idx", "src_len", "contrib")
+
 
 def workspace(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
@@ -32,9 +38,9 @@ class IndexFormatError(ValueError):
     """What was read isn't a saved index."""
 
 
-def _sidecar(index: Index, kind: str) -> str:
+def _sidecar(index: Index, kind: str, **more: str) -> str:
     entries = index.entries.select("token", "key", "weight", "locations")
-    return json.dumps({"format": FORMAT, "kind": kind, "normaliser": index.normaliser.spec(), "schema": json.loads(entries.schema.json())})
+    return json.dumps({"format": FORMAT, "kind": kind, "normaliser": index.normaliser.spec(), "schema": json.loads(entries.schema.json())} | more)
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -54,10 +60,18 @@ def write_parquet(index: Index, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_json(index: Index, path: str, mode: str = "errorifexists") -> None:
-    """Nulls are kept."""
-    rows = index.entries.select("token", "key", "weight", "locations")
-    rows.write.mode(mode).option("ignoreNullFields", "false").json(f"{path}/entries")
-    _write_text(rows.sparkSession, f"{path}/index.json", _sidecar(index, "json"))
+    """Gzipped lines, an entry each, its locations as parallel arrays; nulls are kept."""
+    rows = index.entries.select("token", "key", "weight", *[F.col(f"locations.{name}").alias(name) for name in PLACE])
+    rows.write.mode(mode).option("ignoreNullFields", "false").option("compression", "gzip").json(f"{path}/entries")
+    _write_text(rows.sparkSession, f"{path}/index.json", _sidecar(index, "json", layout="arrays"))
+
+
+def _from_arrays(rows: DataFrame) -> DataFrame:
+    """Entries of locations as parallel arrays; arrays of different sizes are an error."""
+    first = F.size(PLACE[0])
+    same = F.forall(F.array(*[F.size(name) for name in PLACE]), lambda n: n == first)
+    zipped = F.when(~same, F.raise_error(F.lit("locations of different sizes")).cast(LOCATIONS)).when(F.col(PLACE[0]).isNotNull(), F.arrays_zip(*PLACE).cast(LOCATIONS))
+    return rows.select("token", "key", "weight", zipped.alias("locations"))
 
 
 def read(spark: SparkSession, path: str) -> Index:
@@ -77,7 +91,10 @@ def read(spark: SparkSession, path: str) -> Index:
         if {f.name: f.dataType.simpleString() for f in rows.schema} != {f.name: f.dataType.simpleString() for f in schema}:
             raise IndexFormatError(f"{path}: columns differ from the sidecar's")
     else:
-        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/entries")
+        flat = found.get("layout") == "arrays"  # before, lines held the locations as they are
+        lines = StructType([f for f in schema if f.name != "locations"] + [StructField(f.name, ArrayType(f.dataType)) for f in schema["locations"].dataType.elementType]) if flat else schema
+        rows = spark.read.schema(lines).option("mode", "FAILFAST").json(f"{path}/entries")
+        rows = _from_arrays(rows) if flat else rows
     return Index(rows.select("token", "key", "weight", "locations"), normaliser)
 
 

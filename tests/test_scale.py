@@ -7,6 +7,8 @@ from lexigrain.functions.normalise import PluralNormaliser
 from lexigrain.operators.fields import Field
 from lexigrain.operators.index import build_index
 from lexigrain.operators.tokenise import NgramBreaker, default_breaker
+from lexigrain.sources import store
+from lexigrain.sources import store
 
 ROWS = [(i % 40, f"a cat, {i} dogs and a réad{i % 3}ed bird") for i in range(100)]
 
@@ -45,3 +47,47 @@ def test_positions_count_code_points(spark):
     assert [(r["token"], r["token_idx"], r["src_idx"], r["src_len"]) for r in rows] == [("a😀b", 0, 0, 3), ("ẍ", 1, 5, 1), ("c", 2, 7, 1), ("😀", 3, 10, 1)]
     runs = NgramBreaker(2, default_breaker()).break_text(spark.createDataFrame([(text,)], "text string")).collect()
     assert [(r["token"], r["token_idx"], r["src_idx"], r["src_len"]) for r in runs][:3] == [("a😀b", 0, 0, 3), ("a😀b ẍ", 0, 0, 6), ("ẍ", 1, 5, 1)]
+
+
+def written(path):
+    return sum(p.stat().st_size for p in path.rglob("part-*"))
+
+
+def test_json_takes_little_disk(spark, rows, tmp_path):
+    index = build_index(rows, "id", [Field("t")])
+    store.write_json(index, f"{tmp_path}/j")
+    store.write_parquet(index, f"{tmp_path}/p")
+    assert written(tmp_path / "j") < 3 * written(tmp_path / "p")
+    want = sorted(map(str, index.entries.collect()))
+    assert sorted(map(str, store.read(spark, f"{tmp_path}/j").entries.collect())) == want
+    # files of the layout before, and entries without locations
+    index.entries.write.option("ignoreNullFields", "false").json(f"{tmp_path}/old/entries")
+    (tmp_path / "old" / "index.json").write_text(store._sidecar(index, "json"))
+    assert sorted(map(str, store.read(spark, f"{tmp_path}/old").entries.collect())) == want
+    store.write_json(build_index(rows, "id", [Field("t")], capture_locations=False), f"{tmp_path}/bare")
+    assert {r["locations"] for r in store.read(spark, f"{tmp_path}/bare").entries.collect()} == {None}
+    (tmp_path / "j" / "entries" / "part-x.json").write_text('{"token":"a~","key":1,"weight":1.0,"field_idx":[0],"token_idx":[],"src_idx":[0],"src_len":[1],"contrib":[1.0]}')
+    with pytest.raises(Exception, match="different sizes"):
+        store.read(spark, f"{tmp_path}/j").entries.collect()
+
+
+def written(path):
+    return sum(p.stat().st_size for p in path.rglob("part-*"))
+
+
+def test_json_takes_little_disk(spark, rows, tmp_path):
+    index = build_index(rows, "id", [Field("t")])
+    store.write_json(index, f"{tmp_path}/j")
+    store.write_parquet(index, f"{tmp_path}/p")
+    assert written(tmp_path / "j") < 3 * written(tmp_path / "p")
+    want = sorted(map(str, index.entries.collect()))
+    assert sorted(map(str, store.read(spark, f"{tmp_path}/j").entries.collect())) == want
+    # files of the layout before, and entries without locations
+    index.entries.write.option("ignoreNullFields", "false").json(f"{tmp_path}/old/entries")
+    (tmp_path / "old" / "index.json").write_text(store._sidecar(index, "json"))
+    assert sorted(map(str, store.read(spark, f"{tmp_path}/old").entries.collect())) == want
+    store.write_json(build_index(rows, "id", [Field("t")], capture_locations=False), f"{tmp_path}/bare")
+    assert {r["locations"] for r in store.read(spark, f"{tmp_path}/bare").entries.collect()} == {None}
+    (tmp_path / "j" / "entries" / "part-x.json").write_text('{"token":"a~","key":1,"weight":1.0,"field_idx":[0],"token_idx":[],"src_idx":[0],"src_len":[1],"contrib":[1.0]}')
+    with pytest.raises(Exception, match="different sizes"):
+        store.read(spark, f"{tmp_path}/j").entries.collect()
