@@ -8,7 +8,9 @@ from lexigrain.operators.fields import Field
 from lexigrain.operators.index import build_index
 from lexigrain.operators.tokenise import NgramBreaker, default_breaker
 from lexigrain.sources import store
+from lexigrain.streaming.maintain import Maintainer
 from lexigrain.sources import store
+from lexigrain.streaming.maintain import Maintainer
 
 ROWS = [(i % 40, f"a cat, {i} dogs and a réad{i % 3}ed bird") for i in range(100)]
 
@@ -91,3 +93,37 @@ def test_json_takes_little_disk(spark, rows, tmp_path):
     (tmp_path / "j" / "entries" / "part-x.json").write_text('{"token":"a~","key":1,"weight":1.0,"field_idx":[0],"token_idx":[],"src_idx":[0],"src_len":[1],"contrib":[1.0]}')
     with pytest.raises(Exception, match="different sizes"):
         store.read(spark, f"{tmp_path}/j").entries.collect()
+
+
+def changed(spark, path, batches):
+    """The last version's entries after batches of (id, t)."""
+    keep = Maintainer(str(path), lambda x: build_index(x, "id", [Field("t")]))
+    for i, batch in enumerate(batches):
+        keep.apply(spark.createDataFrame(batch, "id long, t string"), i)
+    return sorted([(r["token"], r["key"], r["weight"]) for r in store.read(spark, keep.version(len(batches) - 1)).entries.collect()], key=str)
+
+
+def test_versions(spark, tmp_path):
+    first = [(i, f"cat t{i}") for i in range(6)]
+    of = lambda rows: sorted([(f"{PluralNormaliser().form(w)}", k, 1.0) for k, t in rows for w in t.split()], key=str)
+    for name, second in (("few", [(1, "dog")]), ("most", [(i, "dog") for i in range(5)]), ("all", [(i, "dog") for i in range(6)]), ("none", [(9, "dog")])):
+        ids = {k for k, _ in second}
+        assert changed(spark, tmp_path / name, [first, second]) == of([r for r in first if r[0] not in ids] + second)
+    got = changed(spark, tmp_path / "null", [[*first, (None, "owl")], [(i, "dog") for i in range(5)]])
+    assert got == sorted([*of([(i, "dog") for i in range(5)] + first[5:]), ("owl~", None, 1.0)], key=str)
+
+
+def test_a_replaced_version_shuffles_no_entries(spark, tmp_path):
+    """Entries of an index that a batch replaces are not shuffled to find out, and the batch is indexed once."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def build(x):
+        seen = F.udf(lambda t: calls.add(1) or t)
+        return build_index(x.withColumn("t", seen("t")), "id", [Field("t")])
+
+    keep = Maintainer(str(tmp_path), build)
+    batch = spark.createDataFrame([(i, "a cat") for i in range(20)], "id long, t string")
+    keep.apply(batch, 0)
+    once = calls.value
+    keep.apply(batch, 1)
+    assert calls.value == 2 * once
