@@ -95,6 +95,17 @@ def test_json_takes_little_disk(spark, rows, tmp_path):
         store.read(spark, f"{tmp_path}/j").entries.collect()
 
 
+def test_json_documents_are_bounded(spark, rows):
+    index = build_index(rows, "id", [Field("t")])
+    docs = store.as_json(index, most=30).withColumn("n", F.size(F.split("json", "token_idx")) - 1).collect()
+    assert max(r["n"] for r in docs) < 60
+    assert len([r for r in docs if r["token"] == "cat~"]) > 1 and len([r for r in docs if r["token"] == "7~"]) == 1
+    assert len([r for r in store.as_json(index).collect() if r["token"] == "cat~"]) == 1
+    entries = index.entries.select("token", "key", "weight", "locations")
+    back = store.from_json(store.as_json(index, most=30)).select("token", "key", "weight", "locations")
+    assert sorted(map(str, back.collect())) == sorted(map(str, entries.collect()))
+
+
 def changed(spark, path, batches):
     """The last version's entries after batches of (id, t)."""
     keep = Maintainer(str(path), lambda x: build_index(x, "id", [Field("t")]))
