@@ -32,20 +32,30 @@ class Breaker:
         """The array of (token, multiplier, token_idx, src_idx, src_len) of a text, in order. Without positions src_idx is null, and src_len of a run of several tokens."""
         raise NotImplementedError
 
+    def pieces(self, text: Column, positions: bool = True) -> Column | None:
+        """The array of (piece, start), if tokens are pieces of the text as it is; None if they are more than that."""
+        return None
+
     def break_text(self, texts: DataFrame, positions: bool = True) -> DataFrame:
         """Tokens of each row's `text`. Without a use for positions, src_idx is left null, which costs less."""
         keep = [c for c in texts.columns if c != "text"]
-        return texts.select(*keep, F.explode(self.tokens(F.col("text"), positions)).alias("_token")).select(*keep, "_token.*")
+        pieces = self.pieces(F.col("text"), positions)
+        if pieces is None:
+            return texts.select(*keep, F.explode(self.tokens(F.col("text"), positions)).alias("_token")).select(*keep, "_token.*")
+        # what follows from a piece is left to generated code
+        rows = texts.select(*keep, F.posexplode(pieces).alias("token_idx", "_piece"))
+        return rows.select(*keep, F.col("_piece.piece").alias("token"), F.lit(1.0).alias("multiplier"), "token_idx", F.col("_piece.start").alias("src_idx"), F.length("_piece.piece").alias("src_len"))
 
 
 def split(text: Column, inside_class: str, positions: bool) -> Column:
-    """The array of (piece, start) between the characters of a regular expression's class; a piece starts behind the character that ends the one before."""
+    """The array of (piece, start) between the characters of a regular expression's class, without empty pieces; a piece
+    starts behind the character that ends the one before."""
     pieces = F.split(text, f"[{inside_class}]", -1)
     if not positions:
-        return F.transform(pieces, lambda p: F.struct(p.alias("piece"), F.lit(None).cast("int").alias("start")))
+        return F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(p.alias("piece"), F.lit(None).cast("int").alias("start")))
     characters = inside(inside_class)
     ends = F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(c.isin(*characters), i + 1)))
-    return F.zip_with(pieces, F.concat(F.array(F.lit(0)), ends), lambda p, s: F.struct(p.alias("piece"), s.alias("start")))
+    return F.filter(F.arrays_zip(pieces.alias("piece"), F.concat(F.array(F.lit(0)), ends).alias("start")), lambda p: p["piece"] != "")
 
 
 def _token(token: Column, multiplier: Column, token_idx: Column, src_idx: Column, src_len: Column) -> Column:
@@ -53,8 +63,7 @@ def _token(token: Column, multiplier: Column, token_idx: Column, src_idx: Column
 
 
 def _numbered(pieces: Column, multiplier: Callable[[Column], Column]) -> Column:
-    found = F.filter(pieces, lambda p: p["piece"] != "")
-    return F.transform(found, lambda p, i: _token(p["piece"], multiplier(p), i, p["start"], F.length(p["piece"])))
+    return F.transform(pieces, lambda p, i: _token(p["piece"], multiplier(p), i, p["start"], F.length(p["piece"])))
 
 
 @dataclass(frozen=True)
@@ -63,8 +72,11 @@ class SplitBreaker(Breaker):
 
     characters: str
 
+    def pieces(self, text: Column, positions: bool = True) -> Column:
+        return split(text, escaped(self.characters), positions)
+
     def tokens(self, text: Column, positions: bool = True) -> Column:
-        return _numbered(split(text, escaped(self.characters), positions), lambda p: F.lit(1.0))
+        return _numbered(self.pieces(text, positions), lambda p: F.lit(1.0))
 
 
 @dataclass(frozen=True)
@@ -75,13 +87,15 @@ class WhitespaceBreaker(Breaker):
     extra: str = ""
     wrapped: Breaker | None = None
 
+    def pieces(self, text: Column, positions: bool = True) -> Column | None:
+        return split(text, SPACE + escaped(self.extra), positions) if self.wrapped is None else None
+
     def tokens(self, text: Column, positions: bool = True) -> Column:
-        at = SPACE + escaped(self.extra)
         if self.wrapped is None:
-            return _numbered(split(text, at, positions), lambda p: F.lit(1.0))
+            return _numbered(self.pieces(text, positions), lambda p: F.lit(1.0))
 
         def again(t: Column) -> Column:
-            return F.transform(split(t["token"], at, positions), lambda p: F.struct(p["piece"].alias("piece"), (t["src_idx"] + p["start"]).alias("start"), t["multiplier"].alias("multiplier")))
+            return F.transform(split(t["token"], SPACE + escaped(self.extra), positions), lambda p: F.struct(p["piece"].alias("piece"), (t["src_idx"] + p["start"]).alias("start"), t["multiplier"].alias("multiplier")))
 
         return _numbered(F.flatten(F.transform(self.wrapped.tokens(text, positions), again)), lambda p: p["multiplier"])
 
@@ -93,8 +107,14 @@ class ExtendingBreaker(Breaker):
     characters: str
     inner: Breaker = WhitespaceBreaker()
 
+    def spaced(self, text: Column) -> Column:
+        return F.translate(text, self.characters, " " * len(self.characters))
+
+    def pieces(self, text: Column, positions: bool = True) -> Column | None:
+        return self.inner.pieces(self.spaced(text), positions)
+
     def tokens(self, text: Column, positions: bool = True) -> Column:
-        return self.inner.tokens(F.translate(text, self.characters, " " * len(self.characters)), positions)
+        return self.inner.tokens(self.spaced(text), positions)
 
 
 def default_breaker() -> Breaker:
