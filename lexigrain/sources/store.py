@@ -76,7 +76,7 @@ def write_sidecar(index: Index, path: str) -> None:
 def write_json(index: Index, path: str, mode: str = "errorifexists") -> None:
     """Gzipped lines, an entry each, its locations as parallel arrays; nulls are kept."""
     rows = index.entries.select("token", "key", "weight", *[F.col(f"locations.{name}").alias(name) for name in PLACE])
-    rows.write.mode(mode).option("ignoreNullFields", "false").option("compression", "gzip").json(f"{path}/entries")
+    rows.write.mode(mode).option("ignoreNullFields", "false").options(compression="gzip", **{"zlib.compress.level": "BEST_SPEED"}).json(f"{path}/entries")
     _write_text(rows.sparkSession, f"{path}/index.json", _sidecar(index, "json", layout="arrays"))
 
 
