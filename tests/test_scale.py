@@ -138,3 +138,23 @@ def test_a_replaced_version_shuffles_no_entries(spark, tmp_path):
     once = calls.value
     keep.apply(batch, 1)
     assert calls.value == 2 * once
+
+
+def test_combining_shuffles_texts_only(spark):
+    """Indexes that were built by key are combined where their entries are."""
+    made = [build_index(spark.createDataFrame(ROWS, "id long, t string"), "id", [Field("t")]) for _ in range(3)]
+    both = made[0].combine(made[1:])
+    assert nodes(both.entries, "Exchange") == 3
+    assert {(r["token"], r["key"]): r["weight"] for r in both.entries.collect()} == {(r["token"], r["key"]): 3 * r["weight"] for r in made[0].entries.collect()}
+
+
+def test_a_frequent_token_is_in_all_files(spark, tmp_path):
+    """A search for it gives each task a part of its rows; files are sorted by token all the same."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write_parquet(build_index(spark.createDataFrame(ROWS, "id long, t string"), "id", [Field("t")]), f"{tmp_path}/p")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "p" / "entries").glob("part-*"))
+    held = [[r["token"] for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert len(files) > 2 and all("cat~" in x and x == sorted(x) for x in held)
